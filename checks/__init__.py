@@ -2,6 +2,6 @@
 
 
 def registry():
-    from checks import ampute, common, encode, sources  # noqa: F401
+    from checks import ampute, common, encode, impute, metafeatures, sources  # noqa: F401
 
     return common.QUERIES, common.SQL

@@ -38,9 +38,17 @@ class Mask:
     intercepts: dict[str, float] = field(default_factory=dict)
     probabilities: dict[str, Column] = field(default_factory=dict)
 
-    def apply(self, df: DataFrame) -> DataFrame:
-        """One projection over all columns; the rest of the frame is carried along."""
-        return df.withColumns({c: F.when(~m, F.col(c)) for c, m in self.conditions.items()})
+    def apply(self, df: DataFrame, keep_truth: list[str] | bool = False) -> DataFrame:
+        """One projection over all columns; the rest of the frame is carried along.
+
+        ``keep_truth`` names columns whose original (``c__true``) and mask
+        (``c__mis``) stay beside them, so scoring later needs no join.
+        """
+        out = {c: F.when(~m, F.col(c)) for c, m in self.conditions.items()}
+        for c in (list(self.conditions) if keep_truth is True else keep_truth or []):
+            out[f"{c}__true"] = F.col(c)
+            out[f"{c}__mis"] = self.conditions.get(c, F.lit(False))
+        return df.withColumns(out)
 
     def flags(self, df: DataFrame, suffix: str = "__mis") -> DataFrame:
         return df.withColumns({f"{c}{suffix}": m for c, m in self.conditions.items()})
@@ -195,16 +203,18 @@ def plan_mask(df: DataFrame, columns: list[str], p: float, mecha: str = "MCAR",
     raise ValueError(f"unknown mechanism {mecha!r} with option {opt!r}")
 
 
-def ampute(df: DataFrame, columns: list[str], p: float, mecha: str = "MCAR", seed: int = 0, **options) -> DataFrame:
-    return plan_mask(df, columns, p, mecha, seed, **options).apply(df)
+def ampute(df: DataFrame, columns: list[str], p: float, mecha: str = "MCAR", seed: int = 0,
+           keep_truth: bool = False, **options) -> DataFrame:
+    mask = plan_mask(df, columns, p, mecha, seed, **options)
+    return mask.apply(df, columns if keep_truth else False)
 
 
-def ampute_preset(df: DataFrame, columns: list[str], p: float, preset: str, seed: int) -> DataFrame:
+def ampute_preset(df: DataFrame, columns: list[str], p: float, preset: str, seed: int, keep_truth: bool = False) -> DataFrame:
     """Named presets used by experiment plans."""
     if preset not in PRESETS:
         raise ValueError(f"unknown mechanism {preset!r}")
     mecha, opt = PRESETS[preset]
-    return ampute(df, columns, p, mecha, seed, opt=opt)
+    return ampute(df, columns, p, mecha, seed, keep_truth, opt=opt)
 
 
 def ampute_numeric(df: DataFrame, numeric: list[str], percent: float, mecha: str, seed: int) -> DataFrame:

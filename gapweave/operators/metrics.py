@@ -17,10 +17,13 @@ EPSILON_POINTS = 2000
 
 def compare(original: DataFrame, missing: DataFrame, imputed: DataFrame, columns: list[str],
             row_id: str = ROW_ID) -> DataFrame:
-    """original as ``c``, the mask as ``c__mis``, the filled value as ``c__imp``, per row."""
+    """Line up three frames by key: ``c`` filled, ``c__true`` original, ``c__mis`` the mask.
+
+    Frames planted with ``keep_truth`` already look like this and need no join.
+    """
     m = missing.select(row_id, *[F.col(c).isNull().alias(f"{c}__mis") for c in columns])
-    i = imputed.select(row_id, *[F.col(c).alias(f"{c}__imp") for c in columns])
-    return original.select(row_id, *columns).join(m, row_id).join(i, row_id)
+    t = original.select(row_id, *[F.col(c).alias(f"{c}__true") for c in columns])
+    return imputed.select(row_id, *columns).join(m, row_id).join(t, row_id)
 
 
 def _pooled(columns: list[str], cell) -> Column:
@@ -28,7 +31,7 @@ def _pooled(columns: list[str], cell) -> Column:
 
 
 def _diff(c: str) -> Column:
-    return F.col(f"{c}__imp") - F.col(c)
+    return F.col(c) - F.col(f"{c}__true")
 
 
 def mask_size(columns: list[str]) -> Column:
@@ -46,8 +49,8 @@ def mae(columns: list[str]) -> Column:
 def accuracy(columns: list[str], half_even: bool = False) -> Column:
     """Share of masked cells that match exactly, optionally after rounding the filled value half to even."""
     def same(c):
-        got = F.rint(F.col(f"{c}__imp")) if half_even else F.col(f"{c}__imp")
-        return (got == F.col(c)).cast("double")
+        got = F.rint(F.col(c)) if half_even else F.col(c)
+        return (got == F.col(f"{c}__true")).cast("double")
 
     return ratio(_pooled(columns, same), mask_size(columns))
 
@@ -91,6 +94,13 @@ def normalized_rmse(original: DataFrame, missing: DataFrame, imputed: DataFrame,
     return pairs.agg(rmse(columns).alias("norm_rmse"))
 
 
+def normalized_rmse_inline(pairs: DataFrame, columns: list[str]) -> DataFrame:
+    """The same on a frame that carries its truth: one scan for the range, one for the error."""
+    scale = fit_gain(pairs, [f"{c}__true" for c in columns])
+    se = _pooled(columns, lambda c: (_diff(c) / F.lit(scale.width[f"{c}__true"])) ** 2)
+    return pairs.agg(F.sqrt(ratio(se, mask_size(columns))).alias("norm_rmse"))
+
+
 def observed_mean(df: DataFrame, columns: list[str]) -> DataFrame:
     """Sum of the observed values over their number."""
     return df.agg(*[F.avg(c).alias(c) for c in columns])
@@ -127,16 +137,12 @@ def distance_scale(df: DataFrame, columns: list[str], q: float = 0.5, mult: floa
     return float(np.float64(value))
 
 
-def audit_table(original: DataFrame, missing: DataFrame, imputed: DataFrame, columns: list[str],
-                extras: dict[str, Column] | None = None, row_id: str = ROW_ID) -> DataFrame:
+def audit_table(pairs: DataFrame, columns: list[str], extras: list[str] = (), row_id: str = ROW_ID) -> DataFrame:
     """One row per imputed cell: original against filled value, plus row-level extras such as y and its prediction."""
-    pairs = compare(original, missing, imputed, columns, row_id)
-    if extras:
-        pairs = pairs.join(original.select(row_id, *[e.alias(n) for n, e in extras.items()]), row_id)
     cells = F.array(*[
-        F.when(F.col(f"{c}__mis"), F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("original"),
-                                            F.col(f"{c}__imp").cast("double").alias("imputed")))
+        F.when(F.col(f"{c}__mis"), F.struct(F.lit(c).alias("column"), F.col(f"{c}__true").cast("double").alias("original"),
+                                            F.col(c).cast("double").alias("imputed")))
         for c in columns
     ])
-    out = pairs.select(row_id, *(extras or {}), F.explode(F.array_compact(cells)).alias("cell"))
-    return out.select(row_id, "cell.column", "cell.original", "cell.imputed", *(extras or {}))
+    out = pairs.select(row_id, *extras, F.explode(F.array_compact(cells)).alias("cell"))
+    return out.select(row_id, "cell.column", "cell.original", "cell.imputed", *extras)
