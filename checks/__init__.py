@@ -2,6 +2,6 @@
 
 
 def registry():
-    from checks import ampute, common, encode, impute, learn, metafeatures, sources  # noqa: F401
+    from checks import ampute, common, encode, experiments, impute, learn, metafeatures, sources  # noqa: F401
 
     return common.QUERIES, common.SQL

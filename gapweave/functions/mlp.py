@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 
 from gapweave.functions.training import adam, average_epochs, backward, forward, glorot, params, shard, with_adam
@@ -34,12 +35,8 @@ class Mlp:
         return forward(self.theta, self.sizes, np.where(np.isnan(x), self.fill, x))[-1][:, 0]
 
 
-def fit_mlps(df: DataFrame, columns: list[str], jobs: list[tuple[list[int], int, np.ndarray]], max_epochs: int,
-             seed: int = 1, row_id: str = "row_id") -> list[Mlp]:
-    """jobs: (input positions, target position, input fill); rows lacking the target are skipped."""
-    data = shard(df, columns, row_id)
-    start = [with_adam(glorot([len(i), HIDDEN, 1], np.random.default_rng([seed, t]))) for i, t, _ in jobs]
-    plans = [(list(i), t, np.asarray(f, float), [len(i), HIDDEN, 1]) for i, t, f in jobs]
+def _epoch(plans):
+    """One pass of minibatch steps over all targets."""
 
     def epoch(models, active, batches, rng):
         models = list(models)
@@ -47,11 +44,9 @@ def fit_mlps(df: DataFrame, columns: list[str], jobs: list[tuple[list[int], int,
         for rows in batches:
             rows = rows[rng.permutation(len(rows))]
             for k, (inputs, target, fill, sizes) in enumerate(plans):
-                if not active[k]:
-                    continue
                 b = rows[~np.isnan(rows[:, target])]
                 n = len(b)
-                if not n:
+                if not n or not active[k]:
                     continue
                 x = np.where(np.isnan(b[:, inputs]), fill, b[:, inputs])
                 theta = params(models[k])
@@ -66,6 +61,43 @@ def fit_mlps(df: DataFrame, columns: list[str], jobs: list[tuple[list[int], int,
                 used[k] += n
         return list(zip(models, loss, used))
 
-    done, _ = average_epochs(data, start, epoch, BATCH, max_epochs, PATIENCE, TOLERANCE, seed)
+    return epoch
+
+
+def _start(inputs: list[int], target: int, seed: int) -> np.ndarray:
+    return with_adam(glorot([len(inputs), HIDDEN, 1], np.random.default_rng([seed, target])))
+
+
+def fit_mlps(df: DataFrame, columns: list[str], jobs: list[tuple[list[int], int, np.ndarray]], max_epochs: int,
+             seed: int = 1, row_id: str = "row_id") -> list[Mlp]:
+    """jobs: (input positions, target position, input fill); rows lacking the target are skipped."""
+    data = shard(df, columns, row_id)
+    plans = [(list(i), t, np.asarray(f, float), [len(i), HIDDEN, 1]) for i, t, f in jobs]
+    start = [_start(i, t, seed) for i, t, _, _ in plans]
+    done, _ = average_epochs(data, start, _epoch(plans), BATCH, max_epochs, PATIENCE, TOLERANCE, seed)
     data.unpersist()
     return [Mlp(i, params(m), f) for (i, _, f, _), m in zip(plans, done)]
+
+
+def fit_small_mlps(subsets: DataFrame, columns: list[str], jobs: list[tuple[list[int], int, np.ndarray]], max_epochs: int,
+                   seed: int = 1) -> list[Mlp]:
+    """One task per target, for training sets whose size is bounded by definition (column ``job``, rows in ``row_id`` order)."""
+    plans = [(list(i), t, np.asarray(f, float), [len(i), HIDDEN, 1]) for i, t, f in jobs]
+
+    def train(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        plan = plans[int(key[0])]
+        rows = pdf.sort_values("row_id")[columns].to_numpy("float64")
+        step = _epoch([plan])
+        state, best, stale = _start(plan[0], plan[1], seed), np.inf, 0
+        rng = np.random.default_rng([seed, plan[1]])
+        for _ in range(max_epochs):
+            (state, loss, used), = step([state], [True], [rows[i: i + BATCH] for i in range(0, len(rows), BATCH)], rng)
+            stale = 0 if loss / used < best - TOLERANCE else stale + 1
+            best = min(best, loss / used)
+            if stale >= PATIENCE:
+                break
+        return pd.DataFrame({"job": [int(key[0])], "theta": [params(state)]})
+
+    out = subsets.groupBy("job").applyInPandas(train, "job int, theta array<double>").collect()
+    theta = {r["job"]: np.array(r["theta"]) for r in out}
+    return [Mlp(i, theta[k], f) for k, (i, _, f, _) in enumerate(plans)]

@@ -6,6 +6,7 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
@@ -65,13 +66,37 @@ class _Affine:
             self.b[j] = coef @ self.b + intercept
 
 
+def _largest_changes(train: DataFrame, model: ChainModel) -> dict[int, float]:
+    """Exact largest change of a filled cell in every round, from one scan."""
+    start, steps, d = model.start, model.steps, len(model.columns)
+
+    def replay(batches):
+        worst = np.zeros(len(steps) // d)
+        for b in batches:
+            x = b.to_numpy("float64")
+            gaps = np.isnan(x)
+            x = np.where(gaps, start, x)
+            for number in range(len(worst)):
+                old = x.copy()
+                for j, coef, intercept in steps[number * d: (number + 1) * d]:
+                    open_ = gaps[:, j]
+                    if open_.any():
+                        x[open_, j] = x[open_] @ coef + intercept
+                worst[number] = max(worst[number], np.abs(x - old).max(initial=0.0))
+        yield pd.DataFrame({"number": np.arange(len(worst)), "change": worst})
+
+    rows = (train.select(*[F.col(c).cast("double").alias(c) for c in model.columns])
+            .mapInPandas(replay, "number int, change double").groupBy("number").agg(F.max("change").alias("change")).collect())
+    return {r["number"]: r["change"] for r in rows}
+
+
 class IceImputer(Imputer):
     """Chained Bayesian ridge regressions.
 
     The rows are scanned once, into products per pattern of gaps. All rounds then
     run on those tables, because a filled cell is an affine function of its row's
-    observed cells. Rows are looked at again only when bounds cannot decide
-    whether the largest change fell under the tolerance.
+    observed cells. A second scan happens only when bounds cannot decide in which
+    round the largest change fell under the tolerance.
     """
 
     def __init__(self, columns=None, row_id="row_id", max_rounds: int = MAX_ROUNDS, tol: float = TOLERANCE,
@@ -98,18 +123,30 @@ class IceImputer(Imputer):
         top = max((max(abs(v + s) for v in (lo, hi)) for g in table.groups
                    for lo, hi, s, seen in zip(g.lo, g.hi, table.shift, g.seen) if seen), default=0.0)
         model = ChainModel(cols, centred + table.shift, [], scans=1)
-        for _ in range(self.max_rounds):
+        undecided = []
+        for number in range(self.max_rounds):
             before = [(m.a.copy(), m.b.copy()) for m in maps]
-            done = len(model.steps)
             for j in order:
                 coef, intercept = self._solve(table, maps, int(j), d)
                 for m in maps:
                     m.step(int(j), coef, intercept)
                 # back from centred to raw values
                 model.steps.append((int(j), coef, float(intercept + table.shift[j] - coef @ table.shift)))
-            model.rounds += 1
-            if self._settled(train, table, maps, before, self.tol * top, model, done):
+            low, high = self._change_bounds(table, maps, before)
+            if high < self.tol * top:
                 break
+            if low < self.tol * top:
+                undecided.append(number)
+        model.rounds = number + 1
+        if undecided:
+            # rounds beyond a possible stop were cheap; one scan settles all of them
+            model.scans += 1
+            change = _largest_changes(train, model)
+            for number in undecided:
+                if change[number] < self.tol * top:
+                    model.rounds = number + 1
+                    model.steps = model.steps[: model.rounds * d]
+                    break
         return model
 
     @staticmethod
@@ -130,11 +167,13 @@ class IceImputer(Imputer):
         coef[others] = bayesian_ridge(cross[np.ix_(others, others)], cross[others, j], max(cross[j, j], 0.0), n)
         return coef, float(mean[j] - coef @ mean)
 
-    def _settled(self, train, table, maps, before, limit, model, done) -> bool:
+    @staticmethod
+    def _change_bounds(table, maps, before) -> tuple[float, float]:
+        """Root mean square and box bounds on the largest change of a filled cell in one round."""
         low = high = 0.0
         for g, m, (a, b) in zip(table.groups, maps, before):
             da, db = m.a - a, m.b - b
-            if not g.n or g.seen.all():
+            if g.seen.all():
                 continue
             sq = np.einsum("ij,jk,ik->i", da, g.p, da) + 2 * db * (da @ g.s) + g.n * db**2
             low = max(low, math.sqrt(max(float(sq.max()) / g.n, 0.0)))
@@ -142,20 +181,7 @@ class IceImputer(Imputer):
             up = np.where(da > 0, da * hi, da * lo).sum(1) + db
             down = np.where(da > 0, da * lo, da * hi).sum(1) + db
             high = max(high, float(np.maximum(np.abs(up), np.abs(down)).max()))
-        if low >= limit:
-            return False
-        if high < limit:
-            return True
-        model.scans += 1
-        return self._largest_change(train, model, done) < limit
-
-    def _largest_change(self, train: DataFrame, model: ChainModel, done: int) -> float:
-        old = ChainModel(model.columns, model.start, model.steps[:done])
-        both = train.select(*model.columns).withColumns({f"__g_{c}": F.col(c) for c in model.columns})
-        new = model.transform(both).withColumns({f"__n_{c}": F.col(c) for c in model.columns})
-        back = old.transform(new.withColumns({c: F.col(f"__g_{c}") for c in model.columns}))
-        gap = F.greatest(*[F.abs(F.col(f"__n_{c}") - F.col(c)) for c in model.columns])
-        return back.agg(F.max(gap)).first()[0] or 0.0
+        return low, high
 
     # --- too many patterns: rows stay filled in a table, one per round ---------
 

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gapweave.functions.gram import column_means
-from gapweave.functions.mlp import Mlp, fit_mlps
+from gapweave.functions.mlp import Mlp, fit_mlps, fit_small_mlps
 from gapweave.functions.numeric import linear, missing_count
 from gapweave.functions.training import map_matrix
 from gapweave.operators.impute.base import Imputer, ImputerError, Model
@@ -85,11 +86,12 @@ class MlpSubsetImputer(Imputer):
 
     def fit(self, train: DataFrame) -> NetModel:
         cols = self.on(train)
-        nets = []
-        for j, target in enumerate(cols):
-            inputs = [i for i in range(len(cols)) if i != j]
+        jobs, picked = [], []
+        for j in range(len(cols)):
             subset, fill = _subset(train, cols, j, self.row_id, self.keep)
-            nets += fit_mlps(subset, cols, [(inputs, j, fill)], self.max_epochs, self.seed, self.row_id)
+            jobs.append(([i for i in range(len(cols)) if i != j], j, fill))
+            picked.append(subset.select(F.lit(j).alias("job"), F.col(self.row_id).alias("row_id"), *cols))
+        nets = fit_small_mlps(reduce(DataFrame.unionByName, picked), cols, jobs, self.max_epochs, self.seed)
         return NetModel(cols, nets, np.nan_to_num(_array(column_means(train, cols), cols)))
 
 
