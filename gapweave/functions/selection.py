@@ -9,11 +9,14 @@ at most BUCKETS rows per searched rank reach the driver.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 1024
+FETCH = 2048   # a bucket this short is read instead of searched further
+STEPS = 32     # borders tried at once in a search over uniform draws
 
 
 def order_statistics(df: DataFrame, ranks: dict[str, list[int]]) -> dict[tuple[str, int], float]:
@@ -36,32 +39,70 @@ def order_statistics(df: DataFrame, ranks: dict[str, list[int]]) -> dict[tuple[s
             return found
         spans = sorted({(c, lo, hi) for (c, _), (lo, hi, _) in open_.items()})
         hits = _bucket_counts(df, spans)
+        short: dict[tuple, list[tuple]] = {}
         for key, (lo, hi, k) in list(open_.items()):
             rest = k
             for n, b_lo, b_hi in hits[(key[0], lo, hi)]:
                 if rest <= n:
                     open_[key] = (b_lo, b_hi, rest)
+                    if n <= FETCH and b_lo < b_hi:
+                        short.setdefault((key[0], b_lo, b_hi), []).append((key, rest))
                     break
                 rest -= n
+        if short:
+            values = _values_inside(df, list(short))
+            for span, asked in short.items():
+                for key, rest in asked:
+                    found[key] = values[span][rest - 1]
+                    del open_[key]
+
+
+def _by_column(spans: list[tuple]) -> dict[str, list[tuple]]:
+    out: dict[str, list[tuple]] = {}
+    for span in spans:
+        out.setdefault(span[0], []).append(span)
+    return out
 
 
 def _bucket_counts(df: DataFrame, spans: list[tuple]) -> dict[tuple, list[tuple]]:
-    def tag(i: int, c: str, lo: float, hi: float) -> Column:
+    """(rows, min, max) of each non-empty bucket of each span, in order.
+
+    No filter: rows outside a span fall into its outer buckets, which costs two
+    groups and spares evaluating the column once more. Each column is read on
+    its own; in columnar files that is as cheap as reading them together.
+    """
+    sides = [F.lit(None).cast("int")]
+    parts = []
+    columns = _by_column(spans)
+    most = max(len(v) for v in columns.values())
+    for i, (c, own) in enumerate(columns.items()):
+        x = F.col(c).cast("double")
+        codes = [F.width_bucket(x, F.lit(lo), F.lit(hi), F.lit(BUCKETS)).cast("int") for _, lo, hi in own]
+        codes += sides * (most - len(codes))
+        parts.append(df.select(F.lit(i).alias("c"), x.alias("x"), *[b.alias(f"b{j}") for j, b in enumerate(codes)]))
+    keys = ["c", *[f"b{j}" for j in range(most)]]
+    rows = reduce(DataFrame.unionAll, parts).groupBy(*keys).agg(
+        F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
+    out: dict[tuple, list[tuple]] = {}
+    for i, own in enumerate(columns.values()):
+        for j, span in enumerate(own):
+            mine = [r for r in rows if r["c"] == i and r[f"b{j}"] is not None]
+            inner = sorted((r for r in mine if 1 <= r[f"b{j}"] <= BUCKETS), key=lambda r: r["lo"])
+            out[span] = [(r["n"], r["lo"], r["hi"]) for r in inner]
+            # values from the upper bound on: the wanted rank, if not found before, is the bound itself
+            over = sum(r["n"] for r in mine if r[f"b{j}"] > BUCKETS)
+            out[span].append((over, span[2], span[2]))
+    return out
+
+
+def _values_inside(df: DataFrame, spans: list[tuple]) -> dict[tuple, list[float]]:
+    """The sorted values of spans already known to be short."""
+    out: dict[tuple, list[float]] = {}
+    for span in spans:
+        c, lo, hi = span
         x = F.col(c).cast("double")
-        b = F.floor((x - F.lit(lo)) / (F.lit(hi) - F.lit(lo)) * F.lit(float(BUCKETS))).cast("int")
-        entry = F.struct(F.lit(i).alias("s"), F.least(b, F.lit(BUCKETS - 1)).alias("b"), x.alias("x"))
-        return F.when(x.between(F.lit(lo), F.lit(hi)), entry)
-
-    tags = F.array_compact(F.array(*[tag(i, *span) for i, span in enumerate(spans)]))
-    rows = (
-        df.select(F.explode(tags).alias("t"))
-        .groupBy("t.s", "t.b")
-        .agg(F.count("*").alias("n"), F.min("t.x").alias("lo"), F.max("t.x").alias("hi"))
-        .collect()
-    )
-    out: dict[tuple, list[tuple]] = {span: [] for span in spans}
-    for r in sorted(rows, key=lambda r: (r["s"], r["b"])):
-        out[spans[r["s"]]].append((r["n"], r["lo"], r["hi"]))
+        inside = F.width_bucket(x, F.lit(lo), F.lit(math.nextafter(hi, math.inf)), F.lit(1)) == 1
+        out[span] = sorted(r["x"] for r in df.where(inside).select(x.alias("x")).collect())
     return out
 
 
@@ -82,23 +123,42 @@ def quantiles_linear(df: DataFrame, wanted: dict[str, list[float]]) -> dict[tupl
     }
 
 
-def lowest_by_hash(df: DataFrame, draws: dict[str, Column], ranks: dict[str, int], row_id: str) -> dict[str, Column]:
-    """Predicates picking exactly ``ranks[name]`` rows with the lowest draw.
+def lowest_by_hash(df: DataFrame, draws: dict[str, Column], ranks: dict[str, int], row_id: str, n: int) -> dict[str, Column]:
+    """Predicates picking exactly ``ranks[name]`` of the ``n`` rows with the lowest draw.
 
-    Equal draws are settled by ``row_id``; the result is a plain row condition,
-    so the rows themselves are neither sorted nor shuffled.
+    Draws are uniform, so the border lies close to rank / n: one scan counts
+    rows below a few borders around it, and a second one reads the handful of
+    rows between two of them. Equal draws are settled by ``row_id``. The result
+    is a plain row condition; the rows are neither sorted nor shuffled.
     """
-    live = {n: k for n, k in ranks.items() if k > 0}
-    out = {n: F.lit(False) for n in ranks}
-    if not live:
-        return out
-    drawn = df.select(F.col(row_id), *[draws[n].alias(n) for n in live])
-    edges = {n: v for (n, _), v in order_statistics(drawn.drop(row_id), {n: [k] for n, k in live.items()}).items()}
-    below = drawn.agg(*[F.count_if(F.col(n) < F.lit(e)).alias(n) for n, e in edges.items()]).first()
-    for n, e in edges.items():
-        ties = (
-            drawn.where(F.col(n) == F.lit(e)).select(row_id).orderBy(row_id).limit(live[n] - below[n])
-            .agg(F.max(row_id).alias("last")).first()
-        )
-        out[n] = (draws[n] < F.lit(e)) | ((draws[n] == F.lit(e)) & (F.col(row_id) <= F.lit(ties["last"])))
+    out = {m: F.lit(k >= n) for m, k in ranks.items()}
+    live = {m: k for m, k in ranks.items() if 0 < k < n}
+    # (borders still possible, rows below the lower one)
+    spans = {}
+    for m, k in live.items():
+        p = k / n
+        reach = 6.0 * math.sqrt(p * (1.0 - p) / n) + 2.0 / n
+        spans[m] = (max(0.0, p - reach), min(1.0, p + reach))
+    at: dict[str, tuple[float, float, int, int]] = {}
+    while spans:
+        grid = {m: [lo + (hi - lo) * i / STEPS for i in range(STEPS + 1)] for m, (lo, hi) in spans.items()}
+        drawn = df.select(*[draws[m].alias(m) for m in grid])
+        row = drawn.agg(*[F.count_if(F.col(m) < F.lit(b)).alias(f"{j}_{i}")
+                          for j, m in enumerate(grid) for i, b in enumerate(grid[m])]).first()
+        again = {}
+        for j, (m, g) in enumerate(grid.items()):
+            below = [row[f"{j}_{i}"] for i in range(STEPS + 1)]
+            if not below[0] < live[m] <= below[-1]:
+                again[m] = (0.0, 1.0)  # an unlikely draw: start over with the whole range
+                continue
+            i = next(i for i in range(STEPS) if below[i + 1] >= live[m])
+            at[m] = (g[i], g[i + 1], below[i], below[i + 1])
+            if below[i + 1] - below[i] > FETCH and g[i] < (g[i] + g[i + 1]) / 2 < g[i + 1]:
+                again[m] = (g[i], g[i + 1])
+        spans = again
+    for m, (lo, hi, below, _) in at.items():
+        u = draws[m]
+        near = df.where((u >= F.lit(lo)) & (u < F.lit(hi))).select(u.alias("u"), F.col(row_id).alias("r"))
+        edge = near.orderBy("u", "r").limit(live[m] - below).agg(F.max(F.struct("u", "r")).alias("e")).first()["e"]
+        out[m] = (u < F.lit(edge["u"])) | ((u == F.lit(edge["u"])) & (F.col(row_id) <= F.lit(edge["r"])))
     return out

@@ -226,9 +226,10 @@ def ampute_numeric(df: DataFrame, numeric: list[str], percent: float, mecha: str
 
 def blank_fraction(df: DataFrame, columns: list[str], fraction: float, seed: int, row_id: str = ROW_ID) -> DataFrame:
     """In each column, blank an exact number of rows drawn without replacement."""
-    k = round(fraction * df.count())
+    n = df.count()
+    k = round(fraction * n)
     draws = {c: hash_uniform(seed, "blank", c, row_id) for c in columns}
-    picked = lowest_by_hash(df, draws, {c: k for c in columns}, row_id)
+    picked = lowest_by_hash(df, draws, {c: k for c in columns}, row_id, n)
     return Mask(picked).apply(df)
 
 

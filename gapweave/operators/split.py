@@ -17,7 +17,8 @@ TEST_SHARE = 0.25
 def with_split(df: DataFrame, seed: int, test_share: float = TEST_SHARE, row_id: str = ROW_ID) -> DataFrame:
     """Add ``split``: exactly ceil(share * n) rows are 'test'."""
     u = hash_uniform(seed, "split", "", row_id)
-    test = lowest_by_hash(df, {"u": u}, {"u": math.ceil(test_share * df.count())}, row_id)["u"]
+    n = df.count()
+    test = lowest_by_hash(df, {"u": u}, {"u": math.ceil(test_share * n)}, row_id, n)["u"]
     return df.withColumn("split", F.when(test, "test").otherwise("train"))
 
 
