@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gapweave.model import ROW_ID, with_row_id
+from gapweave.sources.files import read_parquet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -28,7 +29,7 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return read_parquet(spark, f"{sf}/{name}.parquet", spread=name == "lineitem")
 
 
 def lines(spark: SparkSession, sf: str) -> DataFrame:

@@ -13,6 +13,15 @@ _ATTRIBUTE = re.compile(r"""^@attribute\s+('[^']*'|"[^"]*"|\S+)\s+(.+?)\s*$""",
 _NUMBERS = ("numeric", "real", "integer")
 
 
+def read_parquet(spark: SparkSession, path: str, spread: bool = False) -> DataFrame:
+    """Parquet scan. ``spread`` deals rows out to all cores when the file has too few row groups to keep them busy;
+    inputs with enough splits are left alone."""
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    # hashing needs no sort, unlike dealing rows out in turn
+    return df.repartition(cores, *df.columns[:4]) if spread and df.rdd.getNumPartitions() < cores else df
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """Comma separated with a header. Give the schema for large files: inferring it reads them twice."""
     reader = spark.read.option("header", True)
