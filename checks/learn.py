@@ -69,7 +69,7 @@ def impute_mlp2(spark, sf):
 
 @query("impute_mlp_regress", _verdict_sql("true"))
 def impute_mlp_regress(spark, sf):
-    return _judge(spark, sf, "mlp_regress", max_epochs=40)
+    return _judge(spark, sf, "mlp_regress")
 
 
 @query("impute_gain4", _verdict_sql("true").replace(", true AS beats_mean", ""))

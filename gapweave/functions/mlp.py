@@ -84,7 +84,7 @@ def fit_small_mlps(subsets: DataFrame, columns: list[str], jobs: list[tuple[list
     """One task per target, for training sets whose size is bounded by definition (column ``job``, rows in ``row_id`` order)."""
     plans = [(list(i), t, np.asarray(f, float), [len(i), HIDDEN, 1]) for i, t, f in jobs]
 
-    def train(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def train(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         plan = plans[int(key[0])]
         rows = pdf.sort_values("row_id")[columns].to_numpy("float64")
         step = _epoch([plan])
