@@ -26,10 +26,11 @@ from gapweave.functions.gram import pattern_key
 from gapweave.functions.rng import hash_uniform
 
 SAMPLE = 20000       # donor rows used to grow the tree
-PROBE = 1000         # donor rows used for the first upper bound
+PROBE = 2000         # donor rows used for the first upper bound
 MAX_CELLS = 4096     # bound on the broadcast cell table
 BLOCK = 4096         # rows of one side that meet in one task call
 CHUNK = 256          # queries compared at once, bounds memory
+EMIT = 50000         # rows handed on at once
 
 
 @dataclass
@@ -257,7 +258,8 @@ def nearest(
     visit_schema = T.StructType(
         [T.StructField("cell", T.LongType()), T.StructField("block", T.LongType()),
          T.StructField("targets", T.LongType()), T.StructField(row_id, queries.schema[row_id].dataType),
-         T.StructField("x", T.ArrayType(T.DoubleType()))])
+         *[T.StructField(f"q{j}", T.DoubleType()) for j in range(d)]])
+    places = [f"q{j}" for j in range(d)]
 
     def wanted(b: pd.DataFrame) -> np.ndarray:
         if not per_target:
@@ -295,11 +297,12 @@ def nearest(
                 if not len(qi):
                     continue
                 times = cells["blocks"][ci]
+                block = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
                 qi, ci = np.repeat(qi, times), np.repeat(ci, times)
-                block = np.concatenate([np.arange(t) for t in times])
-                yield pd.DataFrame({
-                    "cell": ci, "block": block, "targets": bits[qi, ci],
-                    row_id: b[row_id].to_numpy()[qi], "x": list(x[qi])})
+                for cut in range(0, len(qi), EMIT):
+                    q, c, t = (v[cut: cut + EMIT] for v in (qi, ci, block))
+                    yield pd.DataFrame({"cell": c, "block": t, "targets": bits[q, c], row_id: b[row_id].to_numpy()[q],
+                                        **dict(zip(places, x[q].T))})
 
     visits = queries.mapInPandas(to_visits, visit_schema).persist()
 
@@ -336,7 +339,7 @@ def nearest(
            [T.StructField(c, T.DoubleType()) for c in payload])])
 
     def meet(q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
-        blank = pd.DataFrame({f.name: [] for f in out_schema.fields})
+        blank = pd.DataFrame({f.name: [] for f in out_schema.fields}, dtype=object)
         if q.empty or m.empty:
             return blank
         m = m.sort_values(row_id, ignore_index=True)
@@ -345,7 +348,7 @@ def nearest(
         parts = []
         for at in range(0, len(q), CHUNK):
             piece = q.iloc[at: at + CHUNK]
-            dist = _distances(np.stack(piece["x"].to_numpy()), dx)
+            dist = _distances(piece[places].to_numpy("float64"), dx)
             me = piece[row_id].to_numpy()
             if exclude_self:
                 dist[me[:, None] == ids[None, :]] = np.nan
@@ -359,6 +362,8 @@ def nearest(
                 rows, cols = np.repeat(np.arange(len(asks)), top.shape[1]), top.ravel()
                 keep = np.isfinite(mine[rows, cols])
                 rows, cols = rows[keep], cols[keep]
+                if not len(rows):
+                    continue
                 found = {row_id: me[asks][rows], "target": t, "dist2": mine[rows, cols], "donor_id": ids[cols]}
                 if per_target:
                     found["value"] = m[t].to_numpy("float64")[cols]

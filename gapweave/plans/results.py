@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gapweave.functions.ordering import with_global_index
 from gapweave.operators.metafeatures import ALL
 
 _TEXT = ["ds_name", "mecha", "imputer", "regressor"]
@@ -60,9 +63,24 @@ def load(spark: SparkSession, root: str, tag: str) -> DataFrame:
 
 
 def ranking(results: DataFrame, score: str = "y_test_rmse") -> DataFrame:
-    """Place of each imputer/regressor pair within its dataset, rate and mechanism (ties share a place)."""
-    w = Window.partitionBy("ds_name", "missing", "mecha").orderBy(F.col(score).asc_nulls_last())
-    return results.withColumn("rank", F.rank().over(w))
+    """Place of each imputer/regressor pair within its dataset, rate and mechanism (ties share a place, missing scores come last).
+
+    Places are differences of global positions, so no group is sorted in one task.
+    """
+    group = ["ds_name", "missing", "mecha"]
+    gone = F.col(score).isNull().alias("__gone")
+    placed = with_global_index(results.select("*", gone), [*group, "__gone", score], "__at")
+    ties = placed.groupBy(*group, score).agg(F.min("__at").alias("__tie"))
+    starts = placed.groupBy(*group).agg(F.min("__at").alias("__start"))
+
+    def same(a, b, keys):
+        return reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in keys])
+
+    ties = ties.alias("t").join(starts.alias("s"), same(ties, starts, group)).select(
+        *[F.col(f"t.{k}").alias(f"__{k}") for k in group], F.col(f"t.{score}").alias("__score"),
+        (F.col("__tie") - F.col("__start") + 1).cast("int").alias("rank"))
+    on = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in group] + [F.col(score).eqNullSafe(F.col("__score"))])
+    return placed.join(ties, on).select(*results.columns, "rank")
 
 
 def winners(results: DataFrame, score: str = "y_test_rmse") -> DataFrame:
