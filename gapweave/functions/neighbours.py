@@ -1,10 +1,11 @@
 """Exact nearest neighbours with gaps, without comparing all pairs.
 
 Donor rows are put into cells: rows with the same pattern of gaps, cut by a
-k-d tree grown on a sample. A small broadcast table holds each cell's bounding
-box and counts. For every query it gives a lower bound on the distance to any
-row of a cell, and (with a donor sample) an upper bound on the k-th distance, so
-a query is sent only to the cells that can still hold one of its neighbours.
+k-d tree grown on a sample. The trees, with the bounding box of every node and
+a few sampled donors per cell, are broadcast; their size is bounded. A query
+walks the trees: sampled donors bound its k-th distance from above, boxes bound
+the distance to any row below them, so it is sent only to the cells that can
+still hold one of its neighbours.
 Cells are cut into blocks of bounded size on both sides before rows meet, so a
 dense cell or a hot pattern is spread over many tasks.
 
@@ -25,9 +26,13 @@ from pyspark.sql import types as T
 from gapweave.functions.gram import pattern_key
 from gapweave.functions.rng import hash_uniform
 
-SAMPLE = 20000       # donor rows used to grow the tree
-PROBE = 2000         # donor rows used for the first upper bound
-MAX_CELLS = 4096     # bound on the broadcast cell table
+SAMPLE = 200000      # donor rows used to grow the trees
+PROBE = 1000         # donor rows used for the first upper bound
+MAX_LEAVES = 32768   # bound on the broadcast trees
+MAX_PATTERNS = 1024  # bound on patterns with trees of their own
+ROWS_PER_LEAF = 512
+PER_CELL = 8         # sampled donors per cell, for the second upper bound
+PAIRS = 200000       # (query, node) pairs looked at together
 BLOCK = 4096         # rows of one side that meet in one task call
 CHUNK = 256          # queries compared at once, bounds memory
 EMIT = 50000         # rows handed on at once
@@ -95,48 +100,143 @@ def _pattern_columns(donors: DataFrame, columns: list[str]) -> list[int]:
     """Columns whose gaps define a cell; fewer when patterns would be too many."""
     use = list(range(min(len(columns), 60)))
     while use:
-        seen = donors.select(pattern_key([columns[j] for j in use]).alias("p")).distinct().limit(MAX_CELLS // 4 + 1)
-        if seen.count() <= MAX_CELLS // 4:
+        seen = donors.select(pattern_key([columns[j] for j in use]).alias("p")).distinct().limit(MAX_PATTERNS + 1)
+        if seen.count() <= MAX_PATTERNS:
             return use
         use = use[: len(use) // 2]
     return use
 
 
-def _gap_bounds(x, seen, cells):
-    """Lower and upper bound on d/m * sum diff^2 from each query to each cell's rows.
+def _lower_bound(x, seen, lo, hi, every, some):
+    """Least possible d/m * sum diff^2 between each query and the rows in its paired box.
 
-    Columns all rows of a cell have are in every joint set; columns only some
-    rows have may or may not be. The extreme mean over the possible joint sets
-    is reached by adding optional columns in sorted order.
+    Columns all rows have are in every joint set; columns only some rows have may
+    or may not be. The least mean over the possible joint sets is reached by
+    adding optional columns in ascending order. Infinite where no column can be shared.
     """
-    lo, hi, every, some = cells["lo"], cells["hi"], cells["every"], cells["some"]
-    q = np.where(seen, x, 0.0)[:, None, :]
-    near = np.maximum(np.maximum(lo - q, q - hi), 0.0) ** 2
-    far = np.maximum(np.abs(q - lo), np.abs(q - hi)) ** 2
-    must = seen[:, None, :] & every
-    may = seen[:, None, :] & some & ~every
-    base_n = must.sum(-1)
-    width = x.shape[1]
-    mixed = may.any()
-
-    def extreme(gap, sign):
-        start = np.where(must, gap, 0.0).sum(-1)
-        if not mixed:
-            with np.errstate(all="ignore"):
-                return np.where(base_n > 0, width * start / base_n, np.inf)
-        extra = np.sort(np.where(may, sign * gap, np.inf), axis=-1)
-        k = np.cumsum(np.isfinite(extra), axis=-1)
-        sums = start[..., None] + sign * np.cumsum(np.where(np.isfinite(extra), extra, 0.0), axis=-1)
-        with np.errstate(all="ignore"):
-            options = np.concatenate([(start / base_n)[..., None], sums / (base_n[..., None] + k)], axis=-1)
-        worst = np.nanmin if sign > 0 else np.nanmax
-        options[np.isnan(options).all(-1)] = np.inf
-        return width * worst(options, axis=-1)
-
-    reach = (seen[:, None, :] & some).any(-1)
-    lower = np.where(reach, extreme(near, 1.0), np.inf)
-    upper = np.where(base_n > 0, extreme(far, -1.0), np.inf)
-    return lower, upper
+    q = np.where(seen, x, 0.0)
+    gap = np.maximum(np.maximum(lo - q, q - hi), 0.0) ** 2
+    must, may = seen & every, seen & some & ~every
+    n, start = must.sum(-1), np.where(must, gap, 0.0).sum(-1)
+    with np.errstate(all="ignore"):
+        best = np.where(n > 0, start / n, np.inf)
+        mixed = np.flatnonzero(may.any(-1))
+        if len(mixed):
+            extra = np.sort(np.where(may[mixed], gap[mixed], np.inf), axis=-1)
+            means = (start[mixed, None] + np.cumsum(extra, axis=-1)) / (n[mixed, None] + np.arange(1, x.shape[1] + 1))
+            best[mixed] = np.minimum(best[mixed], means.min(-1))
+    return x.shape[1] * best
+
+
+def _pair_distances(x, d):
+    """Squared scaled distance of paired rows."""
+    both = ~np.isnan(x) & ~np.isnan(d)
+    n = both.sum(-1)
+    with np.errstate(all="ignore"):
+        return np.where(n > 0, np.where(both, (x - d) ** 2, 0.0).sum(-1) * x.shape[1] / n, np.nan)
+
+
+@dataclass
+class _Forest:
+    """All trees as arrays; ``cell`` is -1 inside and a cell number at leaves that hold donors."""
+
+    roots: np.ndarray
+    children: np.ndarray
+    cell: np.ndarray
+    box: dict
+    have: np.ndarray      # donors per cell and target
+    blocks: np.ndarray    # blocks per cell
+    probe: tuple          # sampled donors, and which targets they have
+    near: tuple           # sampled donors by cell, which targets they have, start and count per cell
+
+    def bounds(self, x, wanted, k):
+        """Upper bound on the k-th squared distance of each query and target, from the probe rows."""
+        rows, has = self.probe
+        dist = _distances(x, rows)
+        out = np.full(wanted.shape, np.inf)
+        for i in range(wanted.shape[1]):
+            ok = np.where(has[:, i] & ~np.isnan(dist), dist, np.inf)
+            if ok.shape[1] >= k:
+                out[:, i] = np.partition(ok, k - 1, axis=1)[:, k - 1]
+        return out
+
+    def walk(self, x, reach):
+        """(query, cell, lower bound) of all leaves within each query's reach."""
+        seen = ~np.isnan(x)
+        far = np.where(np.isfinite(reach), reach * (1 + 1e-9) + 1e-300, np.inf)
+        stack = [(np.repeat(np.arange(len(x)), len(self.roots)), np.tile(self.roots, len(x)))]
+        found = []
+        while stack:
+            q, node = stack.pop()
+            if len(q) > PAIRS:
+                stack += [(q[PAIRS:], node[PAIRS:])]
+                q, node = q[:PAIRS], node[:PAIRS]
+            low = _lower_bound(x[q], seen[q], *(self.box[t][node] for t in ("lo", "hi", "every", "some")))
+            ok = (low <= far[q]) & np.isfinite(low)
+            q, node, low = q[ok], node[ok], low[ok]
+            leaf = self.cell[node] >= 0
+            found.append((q[leaf], self.cell[node[leaf]], low[leaf]))
+            q, pair = q[~leaf], self.children[node[~leaf]]
+            if len(q):
+                q, node = np.repeat(q, 2), pair.ravel()
+                stack.append((q[node >= 0], node[node >= 0]))
+        return tuple(np.concatenate(v) for v in zip(*found))
+
+    def tighten(self, x, q, cell, reach, k):
+        """Improve the upper bounds with the sampled donors of the cells found."""
+        rows, has, start, count = self.near
+        times = count[cell]
+        at = np.repeat(start[cell], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        who = np.repeat(q, times)
+        dist = _pair_distances(x[who], rows[at])
+        for i in range(reach.shape[1]):
+            ok = has[at, i] & ~np.isnan(dist)
+            w, v = who[ok], dist[ok]
+            order = np.lexsort((v, w))
+            w, v = w[order], v[order]
+            first = np.searchsorted(w, np.arange(len(x)))
+            last = np.searchsorted(w, np.arange(len(x)), side="right")
+            enough = last - first >= k
+            reach[enough, i] = np.minimum(reach[enough, i], v[first[enough] + k - 1])
+        return reach
+
+
+def _plant(trees: dict, stats: pd.DataFrame, d: int) -> tuple:
+    """Join the trees with the measured cells; node boxes are made from the leaves up."""
+    cells = {(int(a), int(b)): i for i, (a, b) in enumerate(zip(stats["pkey"], stats["leaf"]))}
+
+    def table(prefix):
+        return stats[[f"{prefix}{j}" for j in range(d)]].to_numpy("float64")
+
+    count = table("n")
+    leaf_box = {"lo": np.nan_to_num(table("lo"), nan=np.inf), "hi": np.nan_to_num(table("hi"), nan=-np.inf),
+                "every": count == stats["rows"].to_numpy("float64")[:, None], "some": count > 0}
+    children, cell, boxes = [], [], []
+
+    def add(pair, number, box):
+        children.append(pair)
+        cell.append(number)
+        boxes.append(box)
+        return len(cell) - 1
+
+    def grow(key, nodes, at):
+        node = nodes[at]
+        if isinstance(node, int):
+            number = cells.get((key, node))
+            return -1 if number is None else add((-1, -1), number, {t: v[number] for t, v in leaf_box.items()})
+        pair = [grow(key, nodes, side) for side in node[2:]]
+        kept = [c for c in pair if c >= 0]
+        if len(kept) < 2:
+            return kept[0] if kept else -1
+        a, b = (boxes[c] for c in kept)
+        return add(tuple(pair), -1, {"lo": np.minimum(a["lo"], b["lo"]), "hi": np.maximum(a["hi"], b["hi"]),
+                                     "every": a["every"] & b["every"], "some": a["some"] | b["some"]})
+
+    roots = [grow(int(p), trees[int(p)].nodes if int(p) in trees else [0], 0) for p in sorted(set(stats["pkey"]))]
+    box = {t: np.array([b[t] for b in boxes]) for t in leaf_box}
+    box["lo"] = np.where(box["some"], box["lo"], 0.0)
+    box["hi"] = np.where(box["some"], box["hi"], 0.0)
+    return cells, np.array(roots), np.array(children), np.array(cell), box
 
 
 def _distances(x, d):
@@ -199,7 +299,7 @@ def nearest(
     sx = sample[columns].to_numpy("float64")
     miss = np.isnan(sx)
     keys = _bits(miss[:, cut_by]) if cut_by else np.zeros(len(sx), "int64")
-    leaves_total = int(min(MAX_CELLS // 2, max(1, n_donors // 512)))
+    leaves_total = int(min(MAX_LEAVES, len(sx) // 2 + 1, max(1, n_donors // ROWS_PER_LEAF)))
     trees = {}
     for p in np.unique(keys):
         rows = sx[keys == p]
@@ -235,21 +335,19 @@ def nearest(
         *[F.count(h).alias(f"t{i}") for i, h in enumerate(have)],
     ).toPandas().sort_values(["pkey", "leaf"], ignore_index=True)
 
-    def table(prefix: str, width: int) -> np.ndarray:
-        return stats[[f"{prefix}{j}" for j in range(width)]].to_numpy("float64")
-
-    counts = table("n", d)
-    rows_in = stats["rows"].to_numpy("float64")[:, None]
-    cells = {
-        "lo": np.nan_to_num(table("lo", d)), "hi": np.nan_to_num(table("hi", d)),
-        "every": counts == rows_in, "some": counts > 0, "have": table("t", len(targets)),
-        "blocks": np.ceil(stats["rows"].to_numpy() / BLOCK).astype("int64"),
-        "number": {(int(a), int(b)): i for i, (a, b) in enumerate(zip(stats["pkey"], stats["leaf"]))},
-    }
-    probe = sample.iloc[:: max(1, len(sample) // PROBE)]
-    probe_x = probe[columns].to_numpy("float64")
-    probe_has = probe[payload].notna().to_numpy() if per_target else np.ones((len(probe), 1), bool)
-    small = spark.sparkContext.broadcast((cells, probe_x, probe_has))
+    numbers, roots, children, cell, box = _plant(trees, stats, d)
+    has = sample[payload].notna().to_numpy() if per_target else np.ones((len(sample), 1), bool)
+    key, leaf = place(sx)
+    home = np.array([numbers.get((int(a), int(b)), -1) for a, b in zip(key, leaf)], dtype="int64")
+    order = np.argsort(home, kind="stable")
+    first = np.searchsorted(home[order], np.arange(len(stats)))
+    inside = np.searchsorted(home[order], np.arange(len(stats)), side="right") - first
+    step = max(1, len(sx) // PROBE)
+    forest = _Forest(
+        roots, children, cell, box, stats[[f"t{i}" for i in range(len(targets))]].to_numpy("float64"),
+        np.ceil(stats["rows"].to_numpy() / BLOCK).astype("int64"), (sx[::step], has[::step]),
+        (sx[order], has[order], first, np.minimum(inside, PER_CELL)))
+    small = spark.sparkContext.broadcast(forest)
     need_k = k + int(exclude_self)
 
     # --- send each query to the cells that can matter ----------------------
@@ -267,49 +365,34 @@ def nearest(
         return np.column_stack([b[t].isna() if t in columns else b[f"lack_{t}"].astype(bool) for t in payload])
 
     def to_visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cells, probe_x, probe_has = small.value
-        step = max(8, min(1024, 2_000_000 // cells["lo"].size))
+        forest = small.value
         for whole in batches:
-            for at in range(0, len(whole), step):
-                b = whole.iloc[at: at + step]
+            for at in range(0, len(whole), CHUNK):
+                b = whole.iloc[at: at + CHUNK]
                 lacks = wanted(b)
                 b, lacks = b[lacks.any(1)], lacks[lacks.any(1)]
                 if b.empty:
                     continue
                 x = b[columns].to_numpy("float64")
-                lower, upper = _gap_bounds(x, ~np.isnan(x), cells)
-                near = _distances(x, probe_x)
-                order = np.argsort(upper, axis=1)
-                ranked = np.take_along_axis(upper, order, 1)
-                bits = np.zeros(lower.shape, "int64")
-                for i in range(lacks.shape[1]):
-                    have = cells["have"][:, i]
-                    enough = np.cumsum(have[order], axis=1) >= need_k
-                    first = np.argmax(enough, axis=1)
-                    reach = np.where(enough.any(1), ranked[np.arange(len(b)), first], np.inf)
-                    seen = np.sort(np.where(probe_has[:, i] & ~np.isnan(near), near, np.inf), axis=1)
-                    if seen.shape[1] >= need_k:
-                        reach = np.minimum(reach, seen[:, need_k - 1])
-                    # slack: bounds and distances are summed in different order
-                    ok = (lower <= reach[:, None] * (1 + 1e-9) + 1e-300) & np.isfinite(lower) & (have > 0)
-                    bits |= (ok & lacks[:, i, None]).astype("int64") << i
-                qi, ci = np.nonzero(bits)
-                if not len(qi):
-                    continue
-                times = cells["blocks"][ci]
+                reach = forest.bounds(x, lacks, need_k)
+                q, c, low = forest.walk(x, np.where(lacks, reach, 0.0).max(1))
+                reach = forest.tighten(x, q, c, reach, need_k)
+                # slack: bounds and distances are summed in different order
+                ok = (low[:, None] <= reach[q] * (1 + 1e-9) + 1e-300) & (forest.have[c] > 0) & lacks[q]
+                bits = (ok.astype("int64") << np.arange(ok.shape[1], dtype="int64")).sum(1)
+                q, c, bits = (v[bits > 0] for v in (q, c, bits))
+                times = forest.blocks[c]
                 block = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                qi, ci = np.repeat(qi, times), np.repeat(ci, times)
-                for cut in range(0, len(qi), EMIT):
-                    q, c, t = (v[cut: cut + EMIT] for v in (qi, ci, block))
-                    yield pd.DataFrame({"cell": c, "block": t, "targets": bits[q, c], row_id: b[row_id].to_numpy()[q],
-                                        **dict(zip(places, x[q].T))})
+                q, c, bits = (np.repeat(v, times) for v in (q, c, bits))
+                for cut in range(0, len(q), EMIT):
+                    i, j, t, m = (v[cut: cut + EMIT] for v in (q, c, block, bits))
+                    yield pd.DataFrame({"cell": j, "block": t, "targets": m, row_id: b[row_id].to_numpy()[i],
+                                        **dict(zip(places, x[i].T))})
 
     visits = queries.mapInPandas(to_visits, visit_schema).persist()
 
     # --- blocks of queries meet blocks of donors ---------------------------
-    numbers = cells["number"]
-    blocks_of = [int(v) for v in cells["blocks"]]
-    first_cells = spark.sparkContext.broadcast((numbers, blocks_of))
+    first_cells = spark.sparkContext.broadcast((numbers, forest.blocks))
     slot_schema = T.StructType(
         [T.StructField("cell", T.LongType()), T.StructField("block", T.LongType()), *donor_fields])
 
@@ -317,7 +400,7 @@ def nearest(
         numbers, blocks_of = first_cells.value
         for b in batches:
             cell = np.array([numbers[(int(p), int(q))] for p, q in zip(b["pkey"], b["leaf"])], dtype="int64")
-            spread = pd.util.hash_array(b[row_id].to_numpy(), categorize=False) % np.array(blocks_of)[cell]
+            spread = pd.util.hash_array(b[row_id].to_numpy(), categorize=False) % blocks_of[cell].astype("uint64")
             yield pd.concat([pd.DataFrame({"cell": cell, "block": spread.astype("int64")}, index=b.index),
                              b.drop(columns=["pkey", "leaf"])], axis=1)
 

@@ -69,7 +69,9 @@ def ranking(results: DataFrame, score: str = "y_test_rmse") -> DataFrame:
     """
     group = ["ds_name", "missing", "mecha"]
     gone = F.col(score).isNull().alias("__gone")
-    placed = with_global_index(results.select("*", gone), [*group, "__gone", score], "__at")
+    # the hash splits long ties over several range partitions
+    spread = F.xxhash64(*results.columns).alias("__any")
+    placed = with_global_index(results.select("*", gone, spread), [*group, "__gone", score, "__any"], "__at")
     ties = placed.groupBy(*group, score).agg(F.min("__at").alias("__tie"))
     starts = placed.groupBy(*group).agg(F.min("__at").alias("__start"))
 
