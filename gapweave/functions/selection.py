@@ -161,5 +161,5 @@ def lowest_by_hash(df: DataFrame, draws: dict[str, Column], ranks: dict[str, int
         # one reference to the draw: a comparison on each side would hash every row twice
         near = df.where(F.width_bucket(u, F.lit(lo), F.lit(hi), F.lit(1)) == 1).select(u.alias("u"), F.col(row_id).alias("r"))
         edge = near.orderBy("u", "r").limit(live[m] - below).agg(F.max(F.struct("u", "r")).alias("e")).first()["e"]
-        out[m] = (u < F.lit(edge["u"])) | ((u == F.lit(edge["u"])) & (F.col(row_id) <= F.lit(edge["r"])))
+        out[m] = F.struct(u.alias("u"), F.col(row_id).alias("r")) <= F.struct(F.lit(edge["u"]).alias("u"), F.lit(edge["r"]).alias("r"))
     return out

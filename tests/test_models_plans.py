@@ -235,3 +235,57 @@ def test_recommender(spark):
     assert got == {2.0: "A", 35.0: "B"}
     with pytest.raises(ValueError):
         r.recommend(t, "MNAR")
+
+
+def test_cross_validated_imputer(spark):
+    from pyspark.ml.classification import DecisionTreeClassifier
+    from pyspark.ml.regression import LinearRegression
+
+    from gapweave.operators.impute import ImputerError
+    from gapweave.operators.impute.crossval import CrossValidatedImputer
+
+    rows = [(i, float(i) if i % 4 else None, 2.0 * i, ("hi" if i > 60 else "lo") if i % 5 else None) for i in range(120)]
+    df = spark.createDataFrame(rows, "row_id long, a double, b double, k string")
+    imp = CrossValidatedImputer((LinearRegression(), {"regParam": [0.0, 5.0]}), (DecisionTreeClassifier(), {"maxDepth": [1, 2]}))
+    with pytest.raises(ImputerError):
+        imp.transform(df)
+    with pytest.raises(ImputerError):
+        imp.fit(df, "a")
+    with pytest.raises(ImputerError):
+        imp.fit(df, ["zz"])
+    out = imp.fit(df, ["a", "k"]).transform(df).orderBy("row_id").collect()
+    assert all(abs(r["a"] - r["row_id"]) < 1.0 for r in out)
+    assert sum(r["k"] != ("hi" if r["row_id"] > 60 else "lo") for r in out) <= 2
+    assert sum(r["a__imputed"] for r in out) == 30 and sum(r["k__imputed"] for r in out) == 24
+    assert imp.best_parameters()["a"] == {"regParam": 0.0}
+    with pytest.raises(ImputerError):
+        imp.fit(df, ["a"])
+
+
+def test_read_with_position_tells_copies_apart(spark, tmp_path):
+    from gapweave.model import read_with_position
+
+    spark.createDataFrame([(1, "x")] * 40, "k int, v string").repartition(3).write.parquet(str(tmp_path / "t"))
+    df = read_with_position(spark, str(tmp_path / "t"))
+    assert df.select("row_id").distinct().count() == 40
+
+
+def test_other_masters_need_a_shared_folder(spark, monkeypatch):
+    import gapweave.session as session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Session:
+        sparkContext = Context()
+        conf = Conf()
+
+    with pytest.raises(RuntimeError):
+        session.shared_root(Session())
