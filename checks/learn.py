@@ -82,7 +82,8 @@ def impute_vae(spark, sf):
     return _judge(spark, sf, "vae", grid={"max_epochs": [6], "n_layers": [0, 1], "layer_1_rel_size": [0.75]}).drop("beats_mean")
 
 
-@query("impute_gain_classic")
+@query("impute_gain_classic", f"""WITH {WIDE_BASE} SELECT count(*) AS n_rows, ({' + '.join(f'count(*) FILTER (WHERE {c} IS NULL)' for c in WIDE)})::BIGINT AS n_filled,
+  0::BIGINT AS left_missing FROM a""")
 def impute_gain_classic(spark, sf):
     from gapweave.operators.impute.generative import gain
 
