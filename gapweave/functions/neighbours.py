@@ -441,9 +441,13 @@ def nearest(
                     continue
                 has = m[t].notna().to_numpy() if per_target else np.ones(len(m), bool)
                 mine = np.where(has & ~np.isnan(dist[asks]), dist[asks], np.inf)
-                top = np.argsort(mine, axis=1, kind="stable")[:, :k]
-                rows, cols = np.repeat(np.arange(len(asks)), top.shape[1]), top.ravel()
-                keep = np.isfinite(mine[rows, cols])
+                last = min(k, mine.shape[1]) - 1
+                edge = np.partition(mine, last, axis=1)[:, last]
+                rows, cols = np.nonzero((mine <= edge[:, None]) & np.isfinite(mine))
+                # donors are in id order, so the column settles equal distances
+                order = np.lexsort((cols, mine[rows, cols], rows))
+                rows, cols = rows[order], cols[order]
+                keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
                 rows, cols = rows[keep], cols[keep]
                 if not len(rows):
                     continue
