@@ -24,8 +24,8 @@ from gapweave.llm.tokens import SPACE, Slice, column, lists, mix, shingle_hash,
 from gapweave.session import settle, settle_table
 
 SHINGLE = 5
-#: A pair at similarity 0.85 shares no band with probability (1 - 0.85^5)^24 < 1e-6.
-BANDS, ROWS = 24, 5
+#: A pair at similarity 0.8 shares no band with probability (1 - 0.8^4)^28 < 1e-6.
+BANDS, ROWS = 28, 4
 #: Minima in the signature, low bits kept of each, and how far below the wanted similarity an
 #: estimate may lie before the pair is given up (more than five standard deviations).
 MINIMA, BITS, MARGIN = 128, 4, 0.18
