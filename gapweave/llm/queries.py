@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with QUERIES (and SQL): one for each operator.
-MODULES = ["op1", "op4", "op5", "op6", "op9", "op10"]
+MODULES = ["op1", "op3", "op4", "op5", "op6", "op9", "op10"]
 
 
 def registry() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
