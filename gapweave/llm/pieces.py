@@ -115,11 +115,12 @@ def merge(v: Vocabulary, chunk: str) -> list[int]:
     return out
 
 
-def _checked(lib, v: Vocabulary, chunks: list[str]) -> None:
-    """The library puts a space before every text; a chunk that begins with one loses it first."""
+def _checked(lib, v: Vocabulary, cache: dict[str, bytes], chunks: list[str]) -> None:
+    """The library puts a space before every text; a chunk that begins with one loses it first, the
+    others are merged once more with one."""
     for chunk, want in zip(chunks, lib.encode([c.removeprefix(SPACE) for c in chunks], num_threads=1), strict=True):
-        whole = chunk if chunk.startswith(SPACE) else SPACE + chunk
-        if chunk != SPACE and merge(v, whole) != want:
+        got = np.frombuffer(cache[chunk], np.int32).tolist() if chunk.startswith(SPACE) else merge(v, SPACE + chunk)
+        if chunk != SPACE and got != want:
             raise AssertionError(f"the library encodes {chunk!r} as {want}")
 
 
@@ -153,7 +154,7 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", ids: str = "ids")
                     parts.append(b"".join(out))
                 if at % CHECK_EVERY == 0 and parts[-1] != np.array(lib.encode(t), np.int32).tobytes():
                     raise AssertionError(f"the library encodes a text otherwise: {t[:80]!r}")
-            _checked(lib, v, fresh)
+            _checked(lib, v, cache, fresh)
             if len(cache) > CACHE:
                 cache.clear()
             values = np.frombuffer(b"".join(parts), np.int32)
