@@ -20,15 +20,14 @@ import io
 import struct
 import uuid
 from collections.abc import Iterator
-from urllib.parse import urlparse
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gapweave.llm.files import opened
 from gapweave.llm.tokens import column
 from gapweave.session import settle_table
 
@@ -42,11 +41,6 @@ KINDS = ("response", "revisit")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def _open(uri: str):
-    """File system and path of a URI or local path."""
-    return pafs.FileSystem.from_uri(uri if urlparse(uri).scheme else f"file://{uri}")
-
-
 def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -93,7 +87,7 @@ def write(planned: DataFrame, folder: str) -> DataFrame:
     """Write the archives; returns the manifest (path, records, bytes), itself a table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = _open(folder)
+        fs, root = opened(folder)
         fs.create_dir(root, recursive=True)
         part = TaskContext.get().partitionId()
         out, made, coder, frame = None, [], None, b""
@@ -165,7 +159,7 @@ def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:
 
         for batch in batches:
             for path in column(batch, "path").to_pylist():
-                fs, at = _open(path)
+                fs, at = opened(path)
                 rows, held = [], 0
                 with fs.open_input_stream(at) as stream:
                     for f, body in _records(stream):
