@@ -58,7 +58,7 @@ def pack(docs: DataFrame, key: str, text: str) -> DataFrame:
         for batch in batches:
             ids = column(batch, "id").to_numpy()
             for s in slices(column(batch, "text"), SLICE_BYTES):
-                out = out or fs.open_output_stream(f"{root}/{name}")
+                out = out or fs.open_output_stream(f"{root}/{name}", compression=None)
                 packed = coder.compress(s.data.tobytes())
                 out.write(packed)
                 raw = s.data.tobytes()

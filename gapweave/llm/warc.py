@@ -108,7 +108,7 @@ def write(planned: DataFrame, folder: str) -> DataFrame:
             for r in records:
                 if out is None:
                     path = f"{root.rstrip('/')}/part-{part:05d}-{uuid.uuid4().hex}.warc.zst"
-                    out = fs.open_output_stream(path)
+                    out = fs.open_output_stream(path, compression=None)
                     out.write(frame)
                     made.append([path, 0, len(frame)])
                 packed = coder.compress(r)
@@ -161,7 +161,7 @@ def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:
             for path in column(batch, "path").to_pylist():
                 fs, at = opened(path)
                 rows, held = [], 0
-                with fs.open_input_stream(at) as stream:
+                with fs.open_input_stream(at, compression=None) as stream:
                     for f, body in _records(stream):
                         payload = body.partition(b"\r\n\r\n")[2]
                         digest, refers = f["WARC-Payload-Digest"].removeprefix("sha1:"), f.get("WARC-Refers-To")
