@@ -40,13 +40,14 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     return later.groupBy("key", "mark").agg(F.sort_array(F.collect_set("at")).alias("starts"))
 
 
-def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", kept: str = "kept_lines") -> DataFrame:
-    """``docs`` with ``kept`` (array of the lines that stay), ``_starts`` (of repeated windows, null
-    if none) and ``_lines``."""
-    found = repeated_windows(docs, key, text).select(F.col("key").alias("_key"), F.col("mark").alias("_mark"), F.col("starts").alias("_starts"))
-    joined = docs.join(found, docs[key].eqNullSafe(F.col("_key")) & (F.xxhash64(docs[text]) == F.col("_mark")), "left")
-    split = joined.select(*[docs[c] for c in docs.columns], "_starts", _lines(text).alias("_lines"))
-    lines, starts = F.col("_lines"), F.col("_starts")
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``row`` (struct of all columns), text, lines, starts (of repeated windows, null if none) and
+    kept_lines of every row of ``docs``."""
+    found = repeated_windows(docs, key, text).select(F.col("key").alias("_key"), "mark", "starts")
+    own = docs.select(F.struct("*").alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
+    joined = own.join(found, F.col("key").eqNullSafe(F.col("_key")) & (F.xxhash64("text") == F.col("mark")), "left")
+    split = joined.select("row", "text", "starts", _lines("text").alias("lines"))
+    lines, starts = F.col("lines"), F.col("starts")
 
     def after(k: Column) -> Column:
         """The lines between the k-th window and the next, or the end."""
@@ -55,7 +56,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", ke
         return F.slice(lines, begin + 1, F.greatest(end - begin, F.lit(0)))
 
     segments = F.concat(F.array(F.slice(lines, F.lit(1), F.get(starts, F.lit(0)))), F.transform(F.sequence(F.lit(0), F.size(starts) - 1), after))
-    return split.withColumn(kept, F.when(starts.isNull(), lines).otherwise(F.flatten(segments)))
+    return split.withColumn("kept_lines", F.when(starts.isNull(), lines).otherwise(F.flatten(segments)))
 
 
 def spans(starts: Column) -> Column:
@@ -67,20 +68,19 @@ def spans(starts: Column) -> Column:
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, n_spans, kept_sha256 of every row."""
     out = without_repeats(docs.select("doc_id", "text"))
-    n = F.coalesce(F.size("_lines"), F.lit(0))
+    n = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size("lines"))
     return out.select(
-        "doc_id", F.greatest(n, F.lit(0)).cast("long").alias("n_lines"),
-        F.when(F.col("text").isNull(), F.lit(0)).otherwise(n - F.size("kept_lines")).cast("long").alias("n_removed"),
-        spans(F.col("_starts")).alias("n_spans"), F.sha2(F.coalesce(F.array_join("kept_lines", "\n"), F.lit("")), 256).alias("kept_sha256"))
+        "row.doc_id", n.cast("long").alias("n_lines"), F.when(F.col("text").isNull(), F.lit(0)).otherwise(n - F.size("kept_lines")).cast("long").alias("n_removed"),
+        spans(F.col("starts")).alias("n_spans"), F.sha2(F.coalesce(F.array_join("kept_lines", "\n"), F.lit("")), 256).alias("kept_sha256"))
 
 
 def clean(docs: DataFrame) -> DataFrame:
     """``docs`` with the kept lines as their text, and ``n_chars`` (if there) to match. A document of
     which nothing stays goes; one that was empty or null before stays as it was."""
-    out = without_repeats(docs, kept="_kept")
-    new = F.when(F.col("_starts").isNull(), F.col("text")).otherwise(F.array_join("_kept", "\n"))
-    out = out.withColumn("_new", new).where(F.col("_starts").isNull() | (F.size("_kept") > 0))
-    changed = {"text": F.col("_new")}
+    out = without_repeats(docs).where(F.col("starts").isNull() | (F.size("kept_lines") > 0))
+    changed = F.col("starts").isNotNull()
+    text = F.array_join("kept_lines", "\n")
+    new = {"text": text}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("_starts").isNull(), F.col("n_chars")).otherwise(F.char_length("_new").cast(docs.schema["n_chars"].dataType))
-    return out.select(*[changed.get(c, F.col(c)).alias(c) for c in docs.columns])
+        new["n_chars"] = F.char_length(text).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[F.when(changed, new[c]).otherwise(F.col("row")[c]).alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns])

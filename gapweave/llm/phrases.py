@@ -256,7 +256,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") ->
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without any benchmark window; rows are told apart by doc_id and text."""
-    row = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.xxhash64("text"))
-    marked = docs.withColumn("_row_of_text", row)
-    hit = search(build_index(marked, "_row_of_text"), benchmark).where(F.size("hits") > 0).select(F.col("key").alias("_row_of_text")).distinct()
-    return marked.join(hit, "_row_of_text", "left_anti").select(docs.columns)
+    mark = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.xxhash64("text"))
+    own = docs.select(F.struct("*").alias("row"), mark.alias("id"), "text")
+    hit = search(build_index(own, "id"), benchmark).where(F.size("hits") > 0).select(F.col("key").alias("id")).distinct()
+    return own.join(hit, "id", "left_anti").select("row.*")

@@ -116,9 +116,9 @@ def certified(measured: DataFrame, stratum: str, labels: DataFrame, risk: float
 def judge(docs: DataFrame, labels: DataFrame, carry: list[str], stratum: str = "lang", risk: float = RISK, error: float = ERROR) -> DataFrame:
     """Measures and ``kept`` of every row of ``docs``, with ``row`` (the carried columns). The
     measures are written to the shared folder once: the cutoffs need all of them first."""
-    extra = docs.withColumns({"_id": F.col("doc_id"), "_stratum": F.coalesce(F.col(stratum).cast("string"), F.lit(""))})
-    measured = measure(extra, [*carry, "_id", "_stratum"])
-    measured = settle_table(measured.select(F.col("row").dropFields("_id", "_stratum").alias("row"), F.col("row._id").alias("doc_id"), F.col("row._stratum").alias("stratum"), *measured.columns[1:]), "measures")
+    own = docs.select(F.struct(*carry).alias("row"), "doc_id", F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), "text")
+    measured = measure(own, ["row", "doc_id", "stratum"])
+    measured = settle_table(measured.select("row.row", "row.doc_id", "row.stratum", *measured.columns[1:]), "measures")
     # A few numbers per stratum: written, counted, and sent only if few.
     cuts = settle_table(certified(measured.drop("row"), "stratum", labels, risk, error), "cutoffs")
     cuts = F.broadcast(cuts) if cuts.count() <= SENT_STRATA else cuts
