@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gapweave.model import ROW_ID, with_row_id
-from gapweave.sources.files import read_parquet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -29,7 +28,7 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return read_parquet(spark, f"{sf}/{name}.parquet", spread=name == "lineitem")
+    return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -63,9 +62,15 @@ def wide(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- SQL fragments ---------------------------------------------------------
 
-LINE_SQL = """SELECT md5(concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice,
-  l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate)) AS row_id, l_quantity, l_discount, l_tax, l_extendedprice
-  FROM lineitem"""
+_LINE_ALL = ("l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus "
+             "l_shipdate").split()
+
+
+def content_id_sql(columns: list[str]) -> str:
+    return "md5(" + " || ".join(f"coalesce(length({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in columns) + ")"
+
+
+LINE_SQL = f"""SELECT {content_id_sql(_LINE_ALL)} AS row_id, l_quantity, l_discount, l_tax, l_extendedprice FROM lineitem"""
 PART_SQL = "SELECT p_partkey AS row_id, p_size::DOUBLE AS p_size, p_retailprice, p_brand, p_type FROM part"
 ORDER_SQL = """SELECT o_orderkey AS row_id, c_acctbal, c_nationkey::DOUBLE AS c_nationkey, o_orderstatus, o_orderpriority,
   c_mktsegment, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey"""

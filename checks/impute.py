@@ -199,17 +199,6 @@ def observed_mean(spark, sf):
     return M.observed_mean(a, COLS).select(*[F.round(c, 6).alias(c) for c in COLS])
 
 
-@query("distance_scale", f"""WITH t AS ({PART3_SQL}), a AS ({mcar_sql(KCOLS, 0.2, 't')}), f AS ({mean_sql(KCOLS, 'a')}),
-  s AS (SELECT * FROM f ORDER BY {u_sql('epsilon', '')}, row_id LIMIT 2000),
-  d AS (SELECT ({' + '.join(f'(x.{c} - y.{c}) ** 2' for c in KCOLS)}) / 2 AS dist FROM s x, s y),
-  p AS (SELECT dist, row_number() OVER (ORDER BY dist) AS rn, count(*) OVER () AS n FROM d WHERE dist > 0)
-  SELECT round(dist * 0.05, 6) AS epsilon FROM p WHERE rn = floor(0.5 * n)""")
-def distance_scale(spark, sf):
-    a = ampute(part3(spark, sf), KCOLS, 0.2, "MCAR", SEED)
-    eps = M.distance_scale(a, KCOLS, seed=SEED)
-    return spark.createDataFrame([(round(eps, 6),)], "epsilon double")
-
-
 @query("audit_table", f"""WITH {BASE} {' UNION ALL '.join(
     f'''SELECT row_id, '{c}' AS "column", t.{c} AS original, round(i.{c}, 5) AS imputed, t.l_extendedprice AS y
     FROM t JOIN a USING (row_id) JOIN i USING (row_id) WHERE a.{c} IS NULL''' for c in LINE)}""")

@@ -19,26 +19,42 @@ FETCH = 2048   # a bucket this short is read instead of searched further
 STEPS = 32     # borders tried at once in a search over uniform draws
 
 
+def _number(c: str) -> Column:
+    """The column as double; NaN counts as missing."""
+    return F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+
+
 def order_statistics(df: DataFrame, ranks: dict[str, list[int]]) -> dict[tuple[str, int], float]:
-    """Value of each 1-based rank among the non-missing values of each column."""
+    """Value of each 1-based rank among the non-missing values of each column.
+
+    Infinite values are counted, not searched. Passes take turns between buckets of equal width and
+    buckets of equal ratio, so values of very different size need few passes as well.
+    """
     names = list(ranks)
-    df = df.select(*names)
-    first = df.agg(*[f(F.col(c)).alias(f"{p}{i}") for i, c in enumerate(names)
-                     for p, f in (("lo", F.min), ("hi", F.max), ("n", F.count))]).first()
+    df = df.select(*[_number(c).alias(c) for c in names])
+    finite = [F.when(F.abs(F.col(c)) < math.inf, F.col(c)) for c in names]
+    first = df.agg(*[e.alias(f"{p}{i}") for i, c in enumerate(names) for p, e in (
+        ("lo", F.min(finite[i])), ("hi", F.max(finite[i])), ("n", F.count(c)), ("under", F.count_if(F.col(c) == -math.inf)), ("f", F.count(finite[i])))]).first()
     open_: dict[tuple[str, int], tuple[float, float, int]] = {}
     found: dict[tuple[str, int], float] = {}
     for i, c in enumerate(names):
         for k in ranks[c]:
             if not 1 <= k <= first[f"n{i}"]:
                 raise ValueError(f"rank {k} of {c!r} is outside 1..{first[f'n{i}']}")
-            open_[(c, k)] = (first[f"lo{i}"], first[f"hi{i}"], k)
+            inner = k - first[f"under{i}"]
+            if inner < 1 or inner > first[f"f{i}"]:
+                found[(c, k)] = -math.inf if inner < 1 else math.inf
+            else:
+                open_[(c, k)] = (first[f"lo{i}"], first[f"hi{i}"], inner)
+    ratio = False
     while True:
         for key in [key for key, (lo, hi, _) in open_.items() if lo == hi]:
             found[key] = open_.pop(key)[0]
         if not open_:
             return found
         spans = sorted({(c, lo, hi) for (c, _), (lo, hi, _) in open_.items()})
-        hits = _bucket_counts(df, spans)
+        hits = _bucket_counts(df, spans, ratio)
+        ratio = not ratio
         short: dict[tuple, list[tuple]] = {}
         for key, (lo, hi, k) in list(open_.items()):
             rest = k
@@ -49,6 +65,8 @@ def order_statistics(df: DataFrame, ranks: dict[str, list[int]]) -> dict[tuple[s
                         short.setdefault((key[0], b_lo, b_hi), []).append((key, rest))
                     break
                 rest -= n
+            else:
+                raise ArithmeticError(f"rank {k} of {key[0]!r} lies in no bucket of [{lo}, {hi}]")
         if short:
             values = _values_inside(df, list(short))
             for span, asked in short.items():
@@ -57,6 +75,26 @@ def order_statistics(df: DataFrame, ranks: dict[str, list[int]]) -> dict[tuple[s
                     del open_[key]
 
 
+def _log_size(x: Column) -> Column:
+    """Grows with x over all finite doubles, by the logarithm of its size."""
+    return F.signum(x) * (F.coalesce(F.log(F.nullif(F.abs(x), F.lit(0.0))), F.lit(0.0)) + 746.0)
+
+
+def _log_size_of(x: float) -> float:
+    return math.copysign(math.log(abs(x)) + 746.0, x) if x else 0.0
+
+
+def _bucket(x: Column, lo: float, hi: float, ratio: bool, count: int) -> Column:
+    """Bucket of x in [lo, hi): 0 below, count + 1 from hi on. Non-decreasing in x."""
+    if ratio or math.isinf(hi - lo):
+        a, b = _log_size_of(lo), _log_size_of(hi)
+        if a < b:
+            inner = F.width_bucket(_log_size(x), F.lit(a), F.lit(b), F.lit(count))
+            # Rounding of the logarithm must not carry a value over the ends.
+            return F.when(x.isNull(), None).when(x < lo, 0).when(x >= hi, count + 1).otherwise(F.greatest(F.lit(1), F.least(F.lit(count), inner.cast("int"))))
+    return F.width_bucket(x, F.lit(lo), F.lit(hi), F.lit(count)).cast("int")
+
+
 def _by_column(spans: list[tuple]) -> dict[str, list[tuple]]:
     out: dict[str, list[tuple]] = {}
     for span in spans:
@@ -64,7 +102,7 @@ def _by_column(spans: list[tuple]) -> dict[str, list[tuple]]:
     return out
 
 
-def _bucket_counts(df: DataFrame, spans: list[tuple]) -> dict[tuple, list[tuple]]:
+def _bucket_counts(df: DataFrame, spans: list[tuple], ratio: bool) -> dict[tuple, list[tuple]]:
     """(rows, min, max) of each non-empty bucket of each span, in order.
 
     No filter: rows outside a span fall into its outer buckets, which costs two
@@ -77,7 +115,7 @@ def _bucket_counts(df: DataFrame, spans: list[tuple]) -> dict[tuple, list[tuple]
     most = max(len(v) for v in columns.values())
     for i, (c, own) in enumerate(columns.items()):
         x = F.col(c).cast("double")
-        codes = [F.width_bucket(x, F.lit(lo), F.lit(hi), F.lit(BUCKETS)).cast("int") for _, lo, hi in own]
+        codes = [_bucket(x, lo, hi, ratio, BUCKETS).cast("int") for _, lo, hi in own]
         codes += sides * (most - len(codes))
         parts.append(df.select(F.lit(i).alias("c"), x.alias("x"), *[b.alias(f"b{j}") for j, b in enumerate(codes)]))
     keys = ["c", *[f"b{j}" for j in range(most)]]
@@ -96,19 +134,18 @@ def _bucket_counts(df: DataFrame, spans: list[tuple]) -> dict[tuple, list[tuple]
 
 
 def _values_inside(df: DataFrame, spans: list[tuple]) -> dict[tuple, list[float]]:
-    """The sorted values of spans already known to be short."""
-    out: dict[tuple, list[float]] = {}
-    for span in spans:
-        c, lo, hi = span
-        x = F.col(c).cast("double")
-        inside = F.width_bucket(x, F.lit(lo), F.lit(math.nextafter(hi, math.inf)), F.lit(1)) == 1
-        out[span] = sorted(r["x"] for r in df.where(inside).select(x.alias("x")).collect())
-    return out
+    """The sorted values of spans already known to be short, all in one job."""
+    tagged = [F.when((F.col(c) >= lo) & (F.col(c) <= hi), F.struct(F.lit(i).alias("i"), F.col(c).alias("x"))) for i, (c, lo, hi) in enumerate(spans)]
+    rows = df.select(F.explode(F.array_compact(F.array(*tagged))).alias("v")).select("v.*").collect()
+    out: dict[tuple, list[float]] = {span: [] for span in spans}
+    for r in rows:
+        out[spans[r["i"]]].append(r["x"])
+    return {span: sorted(v) for span, v in out.items()}
 
 
 def quantiles_linear(df: DataFrame, wanted: dict[str, list[float]]) -> dict[tuple[str, float], float]:
     """Quantiles with linear interpolation between the two neighbouring ranks."""
-    counts = df.agg(*[F.count(F.col(c)).alias(c) for c in wanted]).first()
+    counts = df.agg(*[F.count(_number(c)).alias(c) for c in wanted]).first()
     ranks: dict[str, list[int]] = {}
     places = {}
     for c, qs in wanted.items():

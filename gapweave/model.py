@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ROW_ID = "row_id"
 
@@ -74,9 +75,15 @@ class Descriptor:
         )
 
 
+def _marked(columns: list[str]) -> Column:
+    text = [F.col(c).cast("string") for c in columns]
+    return F.concat(*[F.coalesce(F.concat(F.char_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in text])
+
+
 def content_id(columns: list[str]) -> Column:
-    """A key for tables without one: md5 over all columns."""
-    return F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in columns]))
+    """A key for tables without one: md5 over all columns, each with its length or a mark for NULL, so
+    that rows which differ only in where a NULL or a separator stands differ in the key."""
+    return F.md5(_marked(columns))
 
 
 def with_row_id(df: DataFrame, key: str | list[str] | None = None) -> DataFrame:
@@ -88,7 +95,7 @@ def with_row_id(df: DataFrame, key: str | list[str] | None = None) -> DataFrame:
     if key is None:
         return df.withColumn(ROW_ID, content_id(df.columns))
     keys = [key] if isinstance(key, str) else list(key)
-    return df.withColumn(ROW_ID, F.concat_ws("|", *[F.col(k).cast("string") for k in keys]))
+    return df.withColumn(ROW_ID, F.col(keys[0]).cast("string") if len(keys) == 1 else _marked(keys))
 
 
 def read_with_position(spark, path: str) -> DataFrame:
@@ -102,13 +109,15 @@ def read_with_position(spark, path: str) -> DataFrame:
 
 def nan_to_null(df: DataFrame, columns: list[str]) -> DataFrame:
     """Missing is NULL everywhere inside; NaN only exists at the borders."""
-    return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in columns})
+    floating = [c for c in columns if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType))]
+    return df.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast(df.schema[c].dataType)) for c in floating}) if floating else df
 
 
 def feature_frame(df: DataFrame, d: Descriptor, row_id: str = ROW_ID, label: bool = True) -> DataFrame:
     """row_id, features in descriptor order, label as double; nothing else is read."""
     cols = [F.col(row_id).alias(ROW_ID)]
-    cols += [F.col(c).cast("double").alias(c) for c in d.numeric]
+    missing = F.lit(None).cast("double")
+    cols += [F.nanvl(F.col(c).cast("double"), missing).alias(c) for c in d.numeric]
     cols += [F.col(c) for c in d.categorical]
     if label:
         cols.append(F.col(d.label).cast("double").alias(d.label))

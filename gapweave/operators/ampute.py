@@ -44,14 +44,15 @@ class Mask:
         ``keep_truth`` names columns whose original (``c__true``) and mask
         (``c__mis``) stay beside them, so scoring later needs no join.
         """
-        out = {c: F.when(~m, F.col(c)) for c, m in self.conditions.items()}
+        masks = {c: F.coalesce(m, F.lit(False)) for c, m in self.conditions.items()}
+        out = {c: F.when(~m, F.col(c)) for c, m in masks.items()}
         for c in (list(self.conditions) if keep_truth is True else keep_truth or []):
             out[f"{c}__true"] = F.col(c)
-            out[f"{c}__mis"] = self.conditions.get(c, F.lit(False))
+            out[f"{c}__mis"] = masks.get(c, F.lit(False))
         return df.withColumns(out)
 
     def flags(self, df: DataFrame, suffix: str = "__mis") -> DataFrame:
-        return df.withColumns({f"{c}{suffix}": m for c, m in self.conditions.items()})
+        return df.withColumns({f"{c}{suffix}": F.coalesce(m, F.lit(False)) for c, m in self.conditions.items()})
 
 
 def _below(seed: int, salt: str, column: str, row_id: str, p: float | Column) -> Column:
@@ -63,9 +64,15 @@ def mcar(columns: list[str], p: float, seed: int, row_id: str = ROW_ID) -> Mask:
     return Mask({c: _below(seed, "mcar", c, row_id, p) for c in columns})
 
 
+def _score(weights: dict[str, float]) -> Column:
+    """A weighted sum in which a missing input counts as zero: the row still has a probability, so
+    the rate asked for is reached over all rows."""
+    return linear([F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in weights], list(weights.values()))
+
+
 def _scaled_weights(df: DataFrame, raw: dict[str, dict[str, float]]) -> dict[str, dict[str, float]]:
     """Divide each weight vector by the sample deviation of its score."""
-    scores = {t: linear([F.col(c) for c in w], list(w.values())) for t, w in raw.items()}
+    scores = {t: _score(w) for t, w in raw.items()}
     row = df.agg(*[F.stddev_samp(z).alias(f"z{i}") for i, z in enumerate(scores.values())]).first()
     out = {}
     for i, (t, w) in enumerate(raw.items()):
@@ -105,12 +112,12 @@ def calibrate(df: DataFrame, scores: dict[str, Column], p: float, tolerance: flo
                 done = True
         if done:
             return b
-    return b
+    raise ArithmeticError(f"no intercept found for a rate of {p}: {b}")
 
 
 def _logistic(df, raw, p, seed, salt, row_id) -> Mask:
     weights = _scaled_weights(df, raw)
-    scores = {t: linear([F.col(c) for c in w], list(w.values())) for t, w in weights.items()}
+    scores = {t: _score(w) for t, w in weights.items()}
     b = calibrate(df, scores, p)
     probs = {t: sigmoid(z + F.lit(b[t])) for t, z in scores.items()}
     return Mask({t: _below(seed, salt, t, row_id, q) for t, q in probs.items()}, [], weights, b, probs)

@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapweave.model import ROW_ID
+from gapweave.model import ROW_ID, nan_to_null
 
 
 class ImputerError(Exception):
@@ -72,7 +72,9 @@ def get_imputer(name: str, **params) -> Imputer:
 
 def impute(df: DataFrame, name: str, columns: list[str], train: DataFrame | None = None, **params) -> DataFrame:
     """Fill ``columns`` of ``df``, fitting on ``train`` when given, else on ``df`` itself."""
-    return get_imputer(name, columns=columns, **params).fit(df if train is None else train).transform(df)
+    df = nan_to_null(df, columns)
+    train = df if train is None else nan_to_null(train, columns)
+    return get_imputer(name, columns=columns, **params).fit(train).transform(df)
 
 
 def impute_numeric(df: DataFrame, name: str, numeric: list[str], text: list[str], row_id: str = ROW_ID, **params) -> DataFrame:

@@ -6,13 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gapweave.functions.numeric import ratio, total
-from gapweave.functions.rng import hash_uniform
-from gapweave.functions.selection import order_statistics
 from gapweave.model import ROW_ID
 from gapweave.operators.scale import fit_gain
 
 NO_GROUND_TRUTH = -99999999.0  # fixed value of the compat mode
-EPSILON_POINTS = 2000
 
 
 def compare(original: DataFrame, missing: DataFrame, imputed: DataFrame, columns: list[str],
@@ -106,37 +103,6 @@ def observed_mean(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(*[F.avg(c).alias(c) for c in columns])
 
 
-def distance_scale(df: DataFrame, columns: list[str], q: float = 0.5, mult: float = 0.05, seed: int = 0,
-                   max_points: int = EPSILON_POINTS, row_id: str = ROW_ID) -> float:
-    """A quantile of the halved squared distances within a sample of at most ``max_points`` rows.
-
-    The sample size is part of the definition; it alone is broadcast to the tasks.
-    """
-    import numpy as np
-    import pandas as pd
-
-    filled = df.select(row_id, *columns)
-    means = filled.agg(*[F.avg(c).alias(c) for c in columns]).first()
-    filled = filled.withColumns({c: F.coalesce(F.col(c), F.lit(means[c])) for c in columns})
-    picked = filled.orderBy(hash_uniform(seed, "epsilon", "", row_id), row_id).limit(max_points)
-    points = picked.select(*columns).toPandas().to_numpy("float64")
-    shared = df.sparkSession.sparkContext.broadcast(points)
-    at = df.sparkSession.range(len(points))
-
-    def distances(batches):
-        pts = shared.value
-        for b in batches:
-            for i in b["id"]:
-                d = ((pts - pts[i]) ** 2).sum(1) / 2.0
-                yield pd.DataFrame({"dist": d[d > 0]})
-
-    dist = at.mapInPandas(distances, "dist double").persist()
-    k = int(q * dist.count())
-    value = order_statistics(dist, {"dist": [k]})[("dist", k)] * mult
-    dist.unpersist()
-    return float(np.float64(value))
-
-
 def audit_table(pairs: DataFrame, columns: list[str], extras: list[str] = (), row_id: str = ROW_ID) -> DataFrame:
     """One row per imputed cell: original against filled value, plus row-level extras such as y and its prediction."""
     cells = F.array(*[

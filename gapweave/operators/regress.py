@@ -91,7 +91,8 @@ class KnnRegressor(Regressor):
     def _predict(self, df):
         donors = self.train.withColumnRenamed(self.label, "__y")
         near = nearest(df, donors, self.features, ["__y"], self.k, self.row_id)
-        return df.join(near.groupBy(self.row_id).agg(F.avg("__y").alias(PREDICTION)), self.row_id)
+        # A row without any neighbour stays, without a prediction.
+        return df.join(near.groupBy(self.row_id).agg(F.avg("__y").alias(PREDICTION)), self.row_id, "left")
 
 
 class MlpRegressor(Regressor):

@@ -22,9 +22,14 @@ def limited(spark: SparkSession, step: Callable, seconds: float = LIMIT_SECONDS)
     tag = f"gapweave-{uuid.uuid4().hex}"
     over = threading.Event()
 
+    done = threading.Event()
+
     def stop():
         over.set()
-        sc.cancelJobsWithTag(tag)
+        # A step may start further jobs after the limit: they are cancelled too, until it gives up.
+        while not done.is_set():
+            sc.cancelJobsWithTag(tag)
+            done.wait(0.2)
 
     timer = threading.Timer(seconds, stop)
     timer.daemon = True
@@ -39,5 +44,8 @@ def limited(spark: SparkSession, step: Callable, seconds: float = LIMIT_SECONDS)
         raise
     finally:
         timer.cancel()
+        done.set()
         sc.removeJobTag(tag)
+    if over.is_set():
+        raise TimedOut(f"step took more than {seconds} s")
     return value, time.monotonic() - start

@@ -10,22 +10,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _ATTRIBUTE = re.compile(r"""^@attribute\s+('[^']*'|"[^"]*"|\S+)\s+(.+?)\s*$""", re.IGNORECASE)
+# Header lines; a data line may begin with any other "@".
+_HEADER = r"(?i)^@(relation\s|attribute\s|data\s*$)"
 _NUMBERS = ("numeric", "real", "integer")
 
 
-def read_parquet(spark: SparkSession, path: str, spread: bool = False) -> DataFrame:
-    """Parquet scan. ``spread`` deals rows out to all cores when the file has too few row groups to keep them busy;
-    inputs with enough splits are left alone."""
-    df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    # hashing needs no sort, unlike dealing rows out in turn
-    return df.repartition(cores, *df.columns[:4]) if spread and df.rdd.getNumPartitions() < cores else df
-
-
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Comma separated with a header. Give the schema for large files: inferring it reads them twice."""
-    reader = spark.read.option("header", True)
-    reader = reader.schema(schema).option("enforceSchema", False) if schema is not None else reader.option("inferSchema", True)
+    """Comma separated with a header. With a schema, a value that doesn't fit raises; without one every
+    column is text, for :func:`coerce_numeric` to cast. Nothing is inferred, so files are read once."""
+    reader = spark.read.option("header", True).option("escape", '"')
+    if schema is not None:
+        reader = reader.schema(schema).option("enforceSchema", False).option("mode", "FAILFAST")
     return reader.csv(path)
 
 
@@ -46,7 +41,7 @@ def read_arff(spark: SparkSession, path: str) -> DataFrame:
     """The data lines, parsed in parallel; '?' is missing, malformed rows raise."""
     schema = arff_schema(spark, path)
     line = F.trim("value")
-    data = spark.read.text(path).where((F.length(line) > 0) & ~F.substring(line, 1, 1).isin("%", "@"))
+    data = spark.read.text(path).where((F.length(line) > 0) & (F.substring(line, 1, 1) != "%") & ~line.rlike(_HEADER))
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
     options = {"nullValue": "?", "quote": "'", "mode": "FAILFAST", "ignoreLeadingWhiteSpace": "true",
                "ignoreTrailingWhiteSpace": "true"}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapweave.model import Descriptor
+from gapweave.model import Descriptor, nan_to_null
 from gapweave.sources.files import coerce_numeric, decode_bytes, read_arff, read_csv
 
 # fixed values: the two published example datasets and their column roles
@@ -68,7 +68,7 @@ class Registry:
         else:
             raise ValueError(f"unknown kind {d.kind!r} of dataset {name!r}")
         d = d.resolve(df)
-        df = coerce_numeric(decode_bytes(df, d.decode), list(d.numeric))
+        df = nan_to_null(coerce_numeric(decode_bytes(df, d.decode), list(d.numeric)), list(d.numeric))
         return d, complete_cases(df) if d.dropna else df
 
 
