@@ -146,6 +146,6 @@ def recommend(spark, sf):
     best = runs.groupBy(*keys).agg(F.min_by("l_returnflag", F.struct("rmse", "l_returnflag")).alias("best"))
     both = meta.join(best, keys).persist()
     feats = ["MF3", "MF8", "MF9", "MF11", "MF13"]
-    model = Recommender(feats, trees=10, depth=3).fit(both, "best")
+    model = Recommender(feats).fit(both, "best")
     out = [model.recommend(both.where(F.col("mecha") == m), m) for m in ("F", "O")]
     return out[0].unionByName(out[1]).groupBy("mecha").agg(F.count("*").alias("n_rows"), F.count("recommended").alias("n_recommended"))

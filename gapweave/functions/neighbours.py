@@ -15,7 +15,8 @@ Distance: sqrt(d / m * sum over the m jointly observed columns of diff^2).
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -36,6 +37,7 @@ PAIRS = 200000       # (query, node) pairs looked at together
 BLOCK = 4096         # rows of one side that meet in one task call
 CHUNK = 256          # queries compared at once, bounds memory
 EMIT = 50000         # rows handed on at once
+TARGETS = 60         # targets searched together
 
 
 @dataclass
@@ -274,6 +276,10 @@ def nearest(
     queries that lack it; otherwise one search returns all payload values.
     Equal distances are settled by donor ``row_id``.
     """
+    if per_target and len(payload) > TARGETS:
+        # Wanted targets travel as bits of one number: more of them are searched in turn.
+        parts = [nearest(queries, donors, columns, payload[i:i + TARGETS], k, row_id, exclude_self, True) for i in range(0, len(payload), TARGETS)]
+        return reduce(DataFrame.unionByName, parts)
     spark = donors.sparkSession
     d = len(columns)
     targets = payload if per_target else ["*"]
@@ -347,7 +353,8 @@ def nearest(
         roots, children, cell, box, stats[[f"t{i}" for i in range(len(targets))]].to_numpy("float64"),
         np.ceil(stats["rows"].to_numpy() / BLOCK).astype("int64"), (sx[::step], has[::step]),
         (sx[order], has[order], first, np.minimum(inside, PER_CELL)))
-    small = spark.sparkContext.broadcast(forest)
+    # Plain values: a broadcast names classes by module, which workers need not have.
+    small = spark.sparkContext.broadcast(tuple(getattr(forest, f.name) for f in fields(forest)))
     need_k = k + int(exclude_self)
 
     # --- send each query to the cells that can matter ----------------------
@@ -365,7 +372,7 @@ def nearest(
         return np.column_stack([b[t].isna() if t in columns else b[f"lack_{t}"].astype(bool) for t in payload])
 
     def to_visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        forest = small.value
+        forest = _Forest(*small.value)
         for whole in batches:
             for at in range(0, len(whole), CHUNK):
                 b = whole.iloc[at: at + CHUNK]

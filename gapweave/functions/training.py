@@ -1,10 +1,11 @@
 """Training small networks where the rows are.
 
-Rows are hashed once into a fixed number of shards that depends on the data, not
-on the cluster. In each epoch every shard runs Adam over its own minibatches,
-starting from the broadcast parameters; the results are averaged, weighted by
-rows. Only parameters travel, so an epoch costs one scan and a small shuffle,
-and a lost executor only repeats its shards.
+Rows are hashed once into shards whose number depends on the data, not on the
+cluster. In each round every shard runs a few epochs of Adam over its own
+minibatches, starting from the broadcast parameters; the results are averaged,
+weighted by rows, in a tree. Only parameters travel, one array per shard and
+model, so a round costs one scan and a small shuffle, and a lost executor only
+repeats its shards.
 """
 
 from __future__ import annotations
@@ -20,13 +21,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SHARD_ROWS = 65536
-MAX_SHARDS = 4096
+SHARD_CELLS = 4_000_000  # a shard is held in memory while it is trained on
+LOCAL = 10               # epochs between two averages
+FAN = 32                 # arrays summed by one task of the tree
 
 
 def shard(df: DataFrame, columns: list[str], row_id: str = "row_id") -> DataFrame:
     """Cached copy of the columns, in hashed shards with a fixed row order."""
     n = df.count()
-    shards = min(MAX_SHARDS, max(1, math.ceil(n / SHARD_ROWS)))
+    shards = max(1, math.ceil(n / SHARD_ROWS), math.ceil(n * len(columns) / SHARD_CELLS))
     return (
         df.select(row_id, *columns).repartition(shards, F.col(row_id)).sortWithinPartitions(row_id)
         .select(*columns).persist()
@@ -64,44 +67,81 @@ def average_epochs(
     ``tol`` for ``patience`` epochs in a row is left as it is.
     """
     spark = data.sparkSession
+    shards = data.rdd.getNumPartitions()
     best = [math.inf] * len(models)
     stale = [0] * len(models)
     losses = [math.nan] * len(models)
-    for number in range(max_epochs):
+    done = 0
+    while done < max_epochs and any(s < patience for s in stale):
         active = [s < patience for s in stale]
-        if not any(active):
-            break
+        local = min(LOCAL, max_epochs - done)
         shared = spark.sparkContext.broadcast(models)
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            rng = np.random.default_rng([seed, number, TaskContext.get().partitionId()])  # noqa: B023
-            done = epoch(shared.value, active, batches_of(frames, batch), rng)  # noqa: B023
-            for i, (theta, loss, rows) in enumerate(done):
-                if rows > 0 and active[i]:  # noqa: B023
-                    v = np.append(theta * rows, [loss, rows])
-                    yield pd.DataFrame({"model": i, "pos": np.arange(v.size), "v": v})
-
-        out = data.mapInPandas(run, "model int, pos int, v double").groupBy("model", "pos").agg(F.sum("v").alias("v")).toPandas()
+            part = TaskContext.get().partitionId()
+            rng = np.random.default_rng([seed, done, part])  # noqa: B023
+            now, rows = list(shared.value), list(batches_of(frames, batch))  # noqa: B023
+            told = [[] for _ in now]
+            for _ in range(local):  # noqa: B023
+                for i, (theta, loss, used) in enumerate(epoch(now, active, iter(rows), rng)):  # noqa: B023
+                    now[i] = theta
+                    told[i] += [loss, used]
+            for i, theta in enumerate(now):
+                if active[i] and told[i] and told[i][-1] > 0:  # noqa: B023
+                    v = np.concatenate([theta * told[i][-1], told[i]])
+                    yield pd.DataFrame({"model": [i], "part": [part], "v": [v.tobytes()]})
+
+        out = _summed(data.mapInPandas(run, _SUMS), shards)
         shared.unpersist()
         models = list(models)
-        for i, part in out.groupby("model"):
-            v = part.sort_values("pos")["v"].to_numpy()
-            rows = v[-1]
-            losses[i] = v[-2] / rows
-            if not np.isfinite(v).all():
+        for i in [i for i, a in enumerate(active) if a]:
+            if i not in out:
                 stale[i] = patience
                 continue
-            models[i] = v[:-2] / rows
-            if losses[i] < best[i] - tol:
-                best[i], stale[i] = losses[i], 0
-            else:
-                stale[i] += 1
-        for i in range(len(models)):
-            if i not in set(out["model"]):
+            v, k = out[i], 2 * local
+            sums = v[-k:].reshape(local, 2)
+            if not np.isfinite(v).all():
                 stale[i] = patience
+                continue
+            models[i] = v[:-k] / sums[-1, 1]
+            for loss, used in sums:
+                losses[i] = loss / used
+                if losses[i] < best[i] - tol:
+                    best[i], stale[i] = losses[i], 0
+                else:
+                    stale[i] += 1
+                if stale[i] >= patience:
+                    break
+        done += local
     return models, losses
 
 
+_SUMS = "model int, part long, v binary"
+
+
+def _summed(rows: DataFrame, count: int) -> dict[int, np.ndarray]:
+    """The sum of the arrays of each model. Tasks add up ``FAN`` parts each until few are left."""
+
+    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, least = {}, {}
+        for f in frames:
+            for i, part, v in zip(f["model"], f["part"], f["v"], strict=True):
+                v = np.frombuffer(v)
+                total[i] = total[i] + v if i in total else v
+                least[i] = min(part, least.get(i, part))
+        if total:
+            yield pd.DataFrame({"model": list(total), "part": [least[i] for i in total], "v": [v.tobytes() for v in total.values()]})
+
+    while count > FAN:
+        count = math.ceil(count / FAN)
+        rows = rows.repartition(count, "part").sortWithinPartitions("part").mapInPandas(add, _SUMS)
+    out: dict[int, np.ndarray] = {}
+    for r in sorted(rows.collect(), key=lambda r: (r["model"], r["part"])):
+        v = np.frombuffer(r["v"])
+        out[r["model"]] = out[r["model"]] + v if r["model"] in out else v
+    return out
+
+
 def total_loss(data: DataFrame, models: list[np.ndarray], loss: Callable, batch: int, seed: int = 0) -> list[float]:
     """Mean of ``loss(models, minibatches, rng)`` = [(sum, rows)] over all shards."""
     shared = data.sparkSession.sparkContext.broadcast(models)

@@ -15,11 +15,11 @@ from gapweave.functions.numeric import linear, missing_count
 from gapweave.functions.training import map_matrix
 from gapweave.operators.impute.base import Imputer, ImputerError, Model
 
-MAX_TRAIN = 250
+LEAST = 250  # rows of the report of least-missing rows
 MIN_TRAIN = 2
 
 
-def least_missing(df: DataFrame, target: str, features: list[str], row_id: str, keep: int = MAX_TRAIN) -> DataFrame:
+def least_missing(df: DataFrame, target: str, features: list[str], row_id: str, keep: int = LEAST) -> DataFrame:
     """The ``keep`` rows with the target and the fewest gaps among the features."""
     gaps = missing_count(features).alias("n_nan")
     return df.where(F.col(target).isNotNull()).select("*", gaps).orderBy("n_nan", row_id).limit(keep)
@@ -78,13 +78,16 @@ class MlpImputer(Imputer):
 
 
 class MlpSubsetImputer(Imputer):
-    """As above on the 250 rows with the fewest gaps per target, at most 300 epochs."""
+    """As above, at most 300 epochs. ``keep`` restricts each target's training to that many rows with
+    the fewest gaps, as the original does with 250; without it every row that has the target counts."""
 
-    def __init__(self, columns=None, row_id="row_id", max_epochs: int = 300, keep: int = MAX_TRAIN, seed: int = 1):
+    def __init__(self, columns=None, row_id="row_id", max_epochs: int = 300, keep: int | None = None, seed: int = 1):
         super().__init__(columns, row_id)
         self.max_epochs, self.keep, self.seed = max_epochs, keep, seed
 
     def fit(self, train: DataFrame) -> NetModel:
+        if self.keep is None:
+            return MlpImputer(self.columns, self.row_id, self.max_epochs, self.seed).fit(train)
         cols = self.on(train)
         jobs, picked = [], []
         for j in range(len(cols)):
@@ -95,9 +98,10 @@ class MlpSubsetImputer(Imputer):
         return NetModel(cols, nets, np.nan_to_num(_array(column_means(train, cols), cols)))
 
 
-def _subset(train: DataFrame, cols: list[str], j: int, row_id: str, keep: int) -> tuple[DataFrame, np.ndarray]:
+def _subset(train: DataFrame, cols: list[str], j: int, row_id: str, keep: int | None) -> tuple[DataFrame, np.ndarray]:
     features = [c for i, c in enumerate(cols) if i != j]
-    subset = least_missing(train.select(row_id, *cols), cols[j], features, row_id, keep).persist()
+    own = train.select(row_id, *cols)
+    subset = own.where(F.col(cols[j]).isNotNull()) if keep is None else least_missing(own, cols[j], features, row_id, keep).persist()
     row = subset.agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m_{i}") for i, c in enumerate(features)]).first()
     if row["n"] < MIN_TRAIN:
         raise ImputerError("training set too small")
@@ -125,9 +129,9 @@ class LinearModel(Model):
 
 
 class LinearSubsetImputer(Imputer):
-    """Least squares per column on the 250 rows with the fewest gaps."""
+    """Least squares per column, on every row that has it, or the ``keep`` ones with the fewest gaps."""
 
-    def __init__(self, columns=None, row_id="row_id", keep: int = MAX_TRAIN):
+    def __init__(self, columns=None, row_id="row_id", keep: int | None = None):
         super().__init__(columns, row_id)
         self.keep = keep
 
@@ -142,7 +146,8 @@ class LinearSubsetImputer(Imputer):
             subset, fill = _subset(train, cols, j, self.row_id, self.keep)
             full = subset.withColumns({c: F.coalesce(F.col(c), F.lit(float(m))) for c, m in zip(features, fill)})
             fit = ridge(moments(full, cols), features, target)
-            subset.unpersist()
+            if self.keep is not None:
+                subset.unpersist()
             coef.append(fit.coef)
             intercept.append(fit.intercept)
         means = column_means(train, cols)

@@ -181,8 +181,22 @@ def _run(tasks, models, active, batches, rng, folds, action):
     return models, loss, used
 
 
+def _pace(point: dict) -> tuple[int, int, int]:
+    return int(point["batch_size"]), int(point["max_epochs"]), int(point["early_stop"])
+
+
 def train_tasks(data: DataFrame, tasks: list, folds: list[int | None], seed: int):
-    """Train all tasks over the same shards; ``folds[i] = k`` leaves fold k-1 out."""
+    """Train all tasks over the same shards; ``folds[i] = k`` leaves fold k-1 out. Tasks that differ in
+    minibatch size, epochs or patience are trained one kind after the other, each with its own values."""
+    kinds = [_pace(t.point) for t in tasks]
+    if len(set(kinds)) > 1:
+        states, losses = [None] * len(tasks), [None] * len(tasks)
+        for kind in dict.fromkeys(kinds):
+            own = [i for i, k in enumerate(kinds) if k == kind]
+            got, lost = train_tasks(data, [tasks[i] for i in own], [folds[i] for i in own], seed)
+            for i, s, v in zip(own, got, lost, strict=True):
+                states[i], losses[i] = s, v
+        return states, losses
     point = tasks[0].point
 
     def epoch(models, active, batches, rng):
