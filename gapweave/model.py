@@ -109,7 +109,7 @@ def read_with_position(spark, path: str) -> DataFrame:
 
 def nan_to_null(df: DataFrame, columns: list[str]) -> DataFrame:
     """Missing is NULL everywhere inside; NaN only exists at the borders."""
-    floating = [c for c in columns if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType))]
+    floating = [c for c in columns if c in df.columns and isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType))]
     return df.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast(df.schema[c].dataType)) for c in floating}) if floating else df
 
 
