@@ -4,10 +4,13 @@ Nodes are distinct shingle sets, so copies cost one node however many there are.
 under many hash functions give band keys (candidates) and, their low bits packed, a signature
 whose bit counts estimate the similarity; the estimate is corrected for chance collisions.
 
-Buckets are cut into blocks of bounded size. Two waves link each block by a spanning forest of
-its most similar pairs, so a group of copies costs about as many checks as it has members. The last
-wave takes the buckets that still hold several components and checks every pair between them that
-the signatures allow. Links and components are tables throughout.
+Buckets are cut into blocks of bounded size. In a block, pairs that the signatures allow are taken from
+the most similar on; a pair whose ends are joined already is passed over, any other is checked on its
+full sets and, if confirmed, emitted. So a block of n nodes emits n - 1 links at most, and a group of
+copies costs about as many checks as it has members. A first wave does so with a few bands and the
+blocks themselves; the second takes all bands where buckets still hold several components, and lets the
+nodes outside a bucket's largest component meet every block of it. Full sets are sent only for the
+nodes that the signatures give a partner. Links and components are tables throughout.
 """
 
 from __future__ import annotations
@@ -27,10 +30,10 @@ SHINGLE = 5
 #: A pair at similarity 0.8 shares no band with probability (1 - 0.8^4)^28 < 1e-6.
 BANDS, ROWS = 28, 4
 #: Minima in the signature, low bits kept of each, and how far below the wanted similarity an
-#: estimate may lie before the pair is given up (more than five standard deviations).
-MINIMA, BITS, MARGIN = 128, 4, 0.18
-#: Nodes in a block; candidate pairs looked at together.
-BLOCK, PAIRS = 128, 1 << 20
+#: estimate may lie before the pair is given up (some five standard deviations).
+MINIMA, BITS, MARGIN = 256, 4, 0.125
+#: Nodes in a block; pairs estimated together.
+BLOCK, PAIRS = 256, 1 << 19
 #: Bands of the first wave.
 FIRST_BANDS = 4
 
@@ -52,6 +55,10 @@ def _sets(part: Slice) -> list[np.ndarray]:
     return out
 
 
+def _node(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
 def _minima(sets: list[np.ndarray]) -> np.ndarray:
     """(sets, MINIMA) of sets that aren't empty."""
     flat = np.concatenate(sets)
@@ -76,159 +83,189 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: key, n_shingles, node (digest of the set, null if empty), bands, signature, and the
-    set itself (48 bits of each shingle's hash, sorted)."""
+    """Per row: key, n_shingles, node (digest of the set, null if empty), bands, signature."""
     keyed = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    schema = f"key {docs.schema[key].dataType.simpleString()}, n_shingles long, node binary, bands array<long>, signature binary, shingles binary"
+    schema = f"key {docs.schema[key].dataType.simpleString()}, n_shingles long, node binary, bands array<long>, signature binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(column(batch, "text")):
                 sets = _sets(part)
                 full = [i for i, s in enumerate(sets) if len(s)]
-                node, bands, signature, shingles = ([None] * part.rows for _ in range(4))
+                node, bands, signature = ([None] * part.rows for _ in range(3))
                 if full:
                     minima = _minima([sets[i] for i in full])
                     packed = _pack(minima)
                     keys = np.stack([shingle_hash(np.ascontiguousarray(minima[:, k * ROWS:(k + 1) * ROWS]).ravel(), ROWS)[::ROWS] ^ mix(np.full(1, k, np.uint64) + FACTORS[:1])
                                      for k in range(BANDS)], axis=1).view(np.int64)
                     for row, i in enumerate(full):
-                        node[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
+                        node[i] = _node(sets[i])
                         bands[i] = row
                         signature[i] = packed[row].tobytes()
-                        shingles[i] = (sets[i] >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
                     lengths = np.array([0 if b is None else BANDS for b in bands])
                     band_lists = lists(keys.ravel(), lengths, pa.int64())
                 else:
                     band_lists = lists(np.zeros(0, np.int64), np.zeros(part.rows, np.int64), pa.int64())
                 yield pa.RecordBatch.from_arrays([
                     column(batch, "key").slice(part.first, part.rows), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.binary()),
-                    band_lists, pa.array(signature, pa.binary()), pa.array(shingles, pa.binary())],
-                    ["key", "n_shingles", "node", "bands", "signature", "shingles"])
+                    band_lists, pa.array(signature, pa.binary())], ["key", "n_shingles", "node", "bands", "signature"])
 
     return keyed.mapInArrow(run, schema)
 
 
-def _forest(left: list[int], right: list[int], comp: list[bytes]) -> list[int]:
-    """Which of the pairs, best first, join what is not joined yet."""
+def full_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
+    """(node, shingles: 48 bits of each shingle's hash, sorted) of the wanted (node, key). Only the texts
+    of those keys are read again for it."""
+    keyed = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    own = keyed.join(wanted.select(F.col("key").alias("_key"), F.col("node").alias("_node")), F.col("key").eqNullSafe(F.col("_key"))).select("_node", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = column(batch, "_node").to_pylist()
+            for part in slices(column(batch, "text")):
+                made = [(n, (x >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
+                        for n, x in zip(nodes[part.first:part.first + part.rows], _sets(part), strict=True) if len(x) and _node(x) == n]
+                if made:
+                    n, x = zip(*made, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(n, pa.binary()), pa.array(x, pa.binary())], ["node", "shingles"])
+
+    # Rows repeating a key and a text give a set more than once.
+    return own.mapInArrow(run, "node binary, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
+
+
+def _wide(six: bytes) -> np.ndarray:
+    """48-bit hashes as numbers."""
+    raw = np.frombuffer(six, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :6] = raw
+    return out.view(np.uint64).ravel()
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union, of sorted sets."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    together = np.sort(np.concatenate([x, y]), kind="stable")
+    shared = int((together[1:] == together[:-1]).sum())
+    return 100 * shared >= percent * (len(together) - shared)
+
+
+def _links(left: list[int], right: list[int], node: list[bytes], comp: list[bytes], shingles: list[bytes], percent: int) -> list[tuple[bytes, bytes]]:
+    """Confirmed pairs, best first, that join what is not joined yet."""
     parent: dict[bytes, bytes] = {}
+    sets: dict[int, np.ndarray] = {}
 
     def root(x: bytes) -> bytes:
         while (up := parent.get(x, x)) != x:
             parent[x] = x = parent.get(up, up)
         return x
 
-    kept = []
-    for i, (a, b) in enumerate(zip(left, right, strict=True)):
-        a, b = root(comp[a]), root(comp[b])
-        if a != b:
+    def full(i: int) -> np.ndarray:
+        if i not in sets:
+            sets[i] = _wide(shingles[i])
+        return sets[i]
+
+    out = []
+    for i, j in zip(left, right, strict=True):
+        a, b = root(comp[i]), root(comp[j])
+        if a != b and similar(full(i), full(j), percent):
             parent[a] = b
-            kept.append(i)
-    return kept
+            out.append((node[i], node[j]))
+    return out
 
 
-def _block_pairs(least: float, forest: bool):
-    """Pairs within runs of rows of equal (bucket, block), from rows sorted by them."""
+def _block_task(least: float, percent: int | None):
+    """Works on rows sorted by (bucket, block). Without ``percent``, rows that have a partner of
+    another component by signature come out again; with it, links confirmed on the rows' sets."""
 
-    def pairs_of(bucket, node, comp, signature, minor) -> Iterator[pa.RecordBatch]:
-        """Whole groups only."""
-        n = len(bucket)
-        new = np.r_[True, (bucket[1:] != bucket[:-1]).any(axis=1)]
+    def partners(group: np.ndarray, comp: np.ndarray, signature: np.ndarray, minor: np.ndarray):
+        """(left, right) pairs within groups, some whole groups at a time, the best first."""
+        n = len(group)
+        new = np.r_[True, group[1:] != group[:-1]]
         last = np.r_[np.flatnonzero(new)[1:], n][np.cumsum(new) - 1]  # end of each row's group
         count = last - np.arange(n) - 1
         upto = np.cumsum(count)
         at = 0
         while at < n:
             to = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, "right"))
-            to = min(n, max(to, at + 1))
-            to = int(last[to - 1]) if forest else to  # a forest needs the group whole
+            to = int(last[min(n, max(to, at + 1)) - 1])
             left = np.repeat(np.arange(at, to), count[at:to])
             before = np.cumsum(count[at:to]) - count[at:to]
             right = left + 1 + np.arange(len(left)) - np.repeat(before, count[at:to])
-            ok = minor[left] | minor[right]
+            ok = (minor[left] | minor[right]) & (comp[left] != comp[right])
             left, right = left[ok], right[ok]
             est = estimate(signature[left], signature[right])
             ok = est >= least
             left, right, est = left[ok], right[ok], est[ok]
-            if forest:
-                order = np.lexsort((right, left, -est))
-                left, right = left[order], right[order]
-                keep = _forest(left.tolist(), right.tolist(), comp)
-                left, right = left[keep], right[keep]
-            if len(left):
-                found = {tuple(sorted((node[a], node[b]))) for a, b in zip(left.tolist(), right.tolist(), strict=True) if comp[a] != comp[b]}
-                if found:
-                    a, b = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+            order = np.lexsort((right, left, -est))
+            yield left[order], right[order]
             at = to
 
+    def whole_groups(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        bucket, block = table["bucket"].to_numpy(), table["block"].to_numpy()
+        group = np.cumsum(np.r_[False, (bucket[1:] != bucket[:-1]) | (block[1:] != block[:-1])])
+        comps = table["comp"].to_pylist()
+        number = {c: i for i, c in enumerate(set(comps))}
+        signature = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint8).reshape(len(table), -1)
+        minor = table["minor"].to_numpy().astype(bool)
+        pairs = partners(group, np.array([number[c] for c in comps]), signature, minor)
+        if percent is None:
+            keep = np.zeros(len(table), bool)
+            for left, right in pairs:
+                keep[left] = keep[right] = True
+            yield from table.filter(pa.array(keep)).combine_chunks().to_batches()
+            return
+        node, shingles = table["node"].to_pylist(), table["shingles"].to_pylist()
+        found = [x for left, right in pairs for x in _links(left.tolist(), right.tolist(), node, comps, shingles, percent)]
+        if found:
+            a, b = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
             if not len(batch):
                 continue
-            bucket = np.stack([column(batch, "bucket").to_numpy(), column(batch, "block").to_numpy().astype(np.int64)], axis=1)
-            node, comp = column(batch, "node").to_pylist(), column(batch, "comp").to_pylist()
-            signature = np.frombuffer(b"".join(column(batch, "signature").to_pylist()), np.uint8).reshape(len(batch), -1)
-            minor = column(batch, "minor").to_numpy(zero_copy_only=False).astype(bool)
-            if held:
-                bucket, signature, minor = (np.concatenate([x, y]) for x, y in ((held[0], bucket), (held[3], signature), (held[4], minor)))
-                node, comp = held[1] + node, held[2] + comp
-            tail = len(bucket) - int(np.argmin((bucket[::-1] == bucket[-1]).all(axis=1))) if (bucket != bucket[-1]).any() else 0
-            yield from pairs_of(bucket[:tail], node[:tail], comp[:tail], signature[:tail], minor[:tail])
-            held = (bucket[tail:], node[tail:], comp[tail:], signature[tail:], minor[tail:])
-        if held:
-            yield from pairs_of(*held)
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            bucket, block = table["bucket"].to_numpy(), table["block"].to_numpy()
+            other = np.flatnonzero((bucket != bucket[-1]) | (block != block[-1]))
+            tail = int(other[-1]) + 1 if len(other) else 0
+            if tail:
+                yield from whole_groups(table.slice(0, tail))
+            held = table.slice(tail)
+        if held is not None:
+            yield from whole_groups(held)
 
     return run
 
 
-def candidates(nodes: DataFrame, least: float, bands: int, forest: bool, salt: int) -> DataFrame:
-    """Pairs (a < b) of nodes of different components that share one of the first ``bands`` bands and
-    whose signatures allow the similarity ``least``. With ``forest``, only what spans each block."""
-    rows = nodes.select("node", "comp", "signature", F.explode(F.slice("bands", 1, bands)).alias("bucket"))
-    shared = nodes.select("comp", F.explode(F.slice("bands", 1, bands)).alias("bucket")).groupBy("bucket").agg(
-        F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node", F.lit(salt)), F.col("blocks")).cast("int")
-    if forest:
-        rows = rows.join(shared.select("bucket", blocks.alias("blocks")), "bucket").withColumn("block", own).withColumn("minor", F.lit(True))
-    else:
-        # The nodes outside a bucket's largest component meet every block; the others only their own.
-        largest = rows.join(shared.select("bucket"), "bucket").groupBy("bucket", "comp").agg(F.count("*").alias("n")).groupBy("bucket").agg(
-            F.max_by("comp", F.struct("n", "comp")).alias("largest"), F.sum("n").alias("n")).select("bucket", "largest", blocks.alias("blocks"))
-        rows = rows.join(largest, "bucket").withColumn("minor", F.col("comp") != F.col("largest"))
-        all_blocks = F.sequence(F.lit(0), F.col("blocks") - 1)
-        rows = rows.withColumn("block", F.explode(F.when(F.col("minor"), all_blocks).otherwise(F.array(own))))
-    rows = rows.select("bucket", "block", "node", "comp", "signature", "minor")
-    found = rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block").mapInArrow(
-        _block_pairs(least, forest), "a binary, b binary")
-    return found.distinct()
-
-
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs with 100 * intersection >= percent * union of their full sets."""
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(
-        sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
-
-    def wide(scalar) -> np.ndarray:
-        raw = np.frombuffer(scalar.as_buffer(), np.uint8).reshape(-1, 6)
-        out = np.zeros((len(raw), 8), np.uint8)
-        out[:, :6] = raw
-        return out.view(np.uint64).ravel()
+def memberships(nodes: DataFrame) -> DataFrame:
+    """(band, bucket, node) of all buckets with several nodes. The signatures stay behind."""
+    bands = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
+    several = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    return bands.join(several, "bucket").select("band", "bucket", "node")
+
+
+def wave(members: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, bands: int, across: bool) -> DataFrame:
+    """Confirmed links (a, b) between components (``nodes``: node, comp, signature), from nodes that share
+    one of the first ``bands`` bands: within blocks, or with ``across`` also between them."""
+    rows = members.where(F.col("band") < bands).join(nodes.select("node", "comp", "signature"), "node")
+    split = rows.groupBy("bucket", "comp").agg(F.count("*").alias("n")).groupBy("bucket").agg(
+        F.sum("n").alias("n"), F.count("*").alias("comps"), F.max_by("comp", F.struct("n", "comp")).alias("largest")).where("comps > 1").select(
+        "bucket", "largest", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    rows = rows.join(split, "bucket").withColumn("minor", F.lit(True) if not across else F.col("comp") != F.col("largest"))
+    own = F.pmod(F.xxhash64("node", F.lit(bands)), F.col("blocks")).cast("int")
+    every = F.when(F.col("minor"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))
+    rows = rows.withColumn("block", F.explode(every) if across else own).select("bucket", "block", "node", "comp", "signature", "minor")
+    least = percent / 100 - MARGIN
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            linked = []
-            for x, y in zip(column(batch, "x"), column(batch, "y"), strict=True):
-                x, y = wide(x), wide(y)
-                together = np.sort(np.concatenate([x, y]))
-                shared = int((together[1:] == together[:-1]).sum())
-                linked.append(100 * shared >= percent * (len(together) - shared))
-            keep = pa.array(linked, pa.bool_())
-            yield pa.RecordBatch.from_arrays([column(batch, "a").filter(keep), column(batch, "b").filter(keep)], ["a", "b"])
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.repartition("bucket", "block").sortWithinPartitions("bucket", "block")
 
-    return both.mapInArrow(run, "a binary, b binary")
+    paired = settle_table(dealt(rows).mapInArrow(_block_task(least, None), kinds), "paired")
+    return dealt(paired.join(sets, "node")).mapInArrow(_block_task(least, percent), "a binary, b binary").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -260,26 +297,16 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
     there.
     """
     rows = settle_table(sketches(docs, key, text), "sketches")
-    sets = rows.where("node is not null").groupBy("node").agg(F.min("key").alias("key"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
-    nodes = settle_table(sets, "nodes")
-    full = rows.where("node is not null").select("node", "shingles")
-    least = percent / 100 - MARGIN
-    links = tried = None
-    labelled = nodes.withColumn("comp", F.col("node"))
-    for bands, forest in ((FIRST_BANDS, True), (BANDS, True), (BANDS, False)):
-        pairs = candidates(labelled, least, bands, forest, salt=bands)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = settle(pairs)
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b"))).distinct()
-        some = full.join(wanted, "node").groupBy("node").agg(F.first("shingles").alias("shingles"))
-        new = settle(confirm(pairs, some, percent))
-        tried = pairs if tried is None else tried.unionByName(pairs)
+    nodes = settle_table(rows.where("node is not null").groupBy("node").agg(
+        F.min("key").alias("key"), F.first("bands").alias("bands"), F.first("signature").alias("signature")), "nodes")
+    members = settle_table(memberships(nodes), "members")
+    wanted = nodes.select("node", "key").join(members.select("node").distinct(), "node", "left_semi")
+    sets = settle_table(full_sets(docs, wanted, key, text), "sets")
+    labelled, links = nodes.withColumn("comp", F.col("node")), None
+    for bands, across in ((FIRST_BANDS, False), (BANDS, True)):
+        new = settle(wave(members, labelled, sets, percent, bands, across))
         links = new if links is None else links.unionByName(new)
-        comp = components(links)
-        labelled = nodes.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        if not forest:
-            break
+        labelled = nodes.select("node", "key", "signature").join(components(links), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         labelled = settle_table(labelled, "labels")
     group = labelled.groupBy("comp").agg(F.min("key").alias("component_id"))
     ids = labelled.select("node", "comp").join(group, "comp").select("node", "component_id")
@@ -291,7 +318,6 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
 def one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that stand for their group; rows are told apart by doc_id and text, so
     full copies of a row stay or go together."""
-    row = F.struct(F.col("doc_id"), F.xxhash64("text").alias("mark"))
-    marked = docs.withColumn("_row_of_text", row)
-    gone = near_copies(marked, "_row_of_text", percent=percent).where("not kept").select("_row_of_text").distinct()
-    return marked.join(gone, marked["_row_of_text"].eqNullSafe(gone["_row_of_text"]), "left_anti").select(docs.columns)
+    own = docs.select(F.struct("*").alias("row"), F.struct(F.col("doc_id"), F.xxhash64("text").alias("mark")).alias("id"), "text")
+    gone = near_copies(own, "id", percent=percent).where("not kept").select(F.col("id").alias("gone")).distinct()
+    return own.join(gone, F.col("id").eqNullSafe(F.col("gone")), "left_anti").select("row.*")
