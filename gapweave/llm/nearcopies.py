@@ -34,6 +34,8 @@ BANDS, ROWS = 28, 4
 MINIMA, BITS, MARGIN = 256, 4, 0.125
 #: Nodes in a block; pairs estimated together.
 BLOCK, PAIRS = 256, 1 << 19
+#: Links up to which one task finds all components (some 50 MB); beyond, tables of stars do.
+ONE_TASK = 1 << 19
 #: Bands of the first wave.
 FIRST_BANDS = 4
 
@@ -268,10 +270,29 @@ def wave(members: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, ba
     return dealt(paired.join(sets, "node")).mapInArrow(_block_task(least, percent), "a binary, b binary").distinct()
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, comp) by union-find over all links of a task; the least node leads."""
+    parent: dict[bytes, bytes] = {}
+
+    def root(x: bytes) -> bytes:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    for batch in batches:
+        for u, v in zip(column(batch, "u").to_pylist(), column(batch, "v").to_pylist(), strict=True):
+            u, v = root(u), root(v)
+            parent[max(u, v)] = min(u, v)
+    nodes = list(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array([root(x) for x in nodes], pa.binary())], ["node", "comp"])
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(node, comp): the smallest node reachable, for every node of a link. Alternating stars: each
-    round ties the neighbours of a node to the least of them, until nothing changes."""
+    """(node, comp): the smallest node reachable, for every node of a link. Many links go by alternating
+    stars: each round ties the neighbours of a node to the least of them, until nothing changes."""
     edges = settle(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    if edges.count() <= ONE_TASK:
+        return edges.coalesce(1).mapInArrow(_joined, "node binary, comp binary")
     mark = None
     while True:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -137,7 +137,9 @@ def test_estimates_are_near_the_similarity():
         assert abs(nearcopies.estimate(packed[:1], packed[1:])[0] - common / len(set(pool.tolist()))) < 0.16
 
 
-def test_components_of_a_long_path(spark):
+@pytest.mark.parametrize("one_task", [1 << 19, 0])
+def test_components_of_a_long_path(spark, monkeypatch, one_task):
+    monkeypatch.setattr(nearcopies, "ONE_TASK", one_task)
     links = spark.createDataFrame([(bytes([i // 256, i % 256]), bytes([(i + 1) // 256, (i + 1) % 256])) for i in range(300)], "a binary, b binary")
     got = nearcopies.components(links).collect()
     assert len(got) == 301 and {bytes(r.comp) for r in got} == {b"\0\0"}
