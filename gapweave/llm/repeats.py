@@ -40,7 +40,7 @@ PERIOD, COVER = 7, (1, 2, 4)
 DEPTH = LENGTH - PERIOD + 1
 GRAM = 24
 #: Bytes of a slice; bytes of text per bucket of minimizers and of suffixes.
-SLICE_BYTES, BUCKET_BYTES, RANGE_BYTES = 4 << 20, 32 << 20, 8 << 20
+SLICE_BYTES, BUCKET_BYTES, RANGE_BYTES = 4 << 20, 32 << 20, 16 << 20
 MISSING = -(1 << 63)
 
 
@@ -54,7 +54,7 @@ def pack(docs: DataFrame, key: str, text: str) -> DataFrame:
         fs.create_dir(root, recursive=True)
         part = TaskContext.get().partitionId()
         name = f"part-{part}-{uuid.uuid4().hex}"
-        coder, at, made, out = zstandard.ZstdCompressor(level=1), 0, [], None
+        coder, at, made, out = zstandard.ZstdCompressor(level=3), 0, [], None
         for batch in batches:
             ids = column(batch, "id").to_numpy()
             for s in slices(column(batch, "text"), SLICE_BYTES):
@@ -173,14 +173,15 @@ def _shared_minimizers(listed: DataFrame, buckets: int) -> DataFrame:
     return met.groupBy("slice").agg(F.collect_list("h").alias("shared"))
 
 
-def _suffixes(listed: DataFrame, cuts: np.ndarray) -> DataFrame:
-    """Sampled suffixes by range, and the repeats that a slice finds by itself.
+def _suffixes(listed: DataFrame, cuts: np.ndarray, local: bool) -> DataFrame:
+    """Sampled suffixes by range; with ``local`` instead the repeats that a slice finds by itself. Both are
+    computed from the slices, as the suffixes are too many to be kept besides the shuffle.
 
-    Rows (range, slice, entries): ``entries`` has for each suffix 56 bytes (6 before it, then 50), the
-    valid shifts, id and place. Range -1 holds a slice's own finds: place and shifts."""
+    Rows (range, slice, n, entries): ``entries`` has for each suffix, by place, 56 bytes (6 before it, then
+    50), id, step from the place before, and valid shifts. Local finds (range -1) are places and shifts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = zstandard.ZstdCompressor(level=1)
+        coder = zstandard.ZstdCompressor(level=3)
 
         def out(range_: int, slice_: int, *arrays: np.ndarray) -> pa.RecordBatch:
             blob = coder.compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
@@ -222,9 +223,13 @@ def _suffixes(listed: DataFrame, cuts: np.ndarray) -> DataFrame:
                 head = np.flatnonzero(np.r_[True, ~same])
                 least = np.repeat(own[head], np.diff(np.r_[head, len(s)]))
                 found = own > least
-                if found.any():
-                    yield out(-1, row["slice"], s[found].astype(np.uint32), bits[found])
-                s, x, own, bits = s[~found], x[~found], own[~found], bits[~found]
+                if local:
+                    if found.any():
+                        yield out(-1, row["slice"], s[found].astype(np.uint32), bits[found])
+                    continue
+                keep = np.flatnonzero(~found)
+                keep = keep[np.argsort(s[keep])]
+                s, x, own, bits = s[keep], x[keep], own[keep], bits[keep]
                 # The first eight bytes of the suffix itself decide its range.
                 lead = (x[:, 0] << np.uint64(48)) | (x[:, 1] >> np.uint64(16))
                 range_ = np.searchsorted(cuts, lead, "right")
@@ -232,7 +237,7 @@ def _suffixes(listed: DataFrame, cuts: np.ndarray) -> DataFrame:
                 cut = np.searchsorted(range_[order], np.arange(len(cuts) + 2))
                 for r in np.flatnonzero(np.diff(cut)):
                     i = order[cut[r]:cut[r + 1]]
-                    yield out(int(r), row["slice"], x[i].astype(">u8"), own[i], s[i].astype(np.uint32), bits[i])
+                    yield out(int(r), row["slice"], x[i].astype(">u8"), own[i], np.diff(s[i], prepend=0).astype(np.uint32), bits[i])
 
     return listed.mapInArrow(run, "range long, slice long, n long, entries binary")
 
@@ -255,7 +260,7 @@ def _sorted_range(table: pa.Table) -> pa.Table:
         raw = coder.decompress(blob.as_buffer())
         x.append(np.frombuffer(raw, ">u8", 7 * k).reshape(k, 7))
         own.append(np.frombuffer(raw, np.int64, k, 56 * k))
-        place.append(np.frombuffer(raw, np.uint32, k, 64 * k))
+        place.append(np.cumsum(np.frombuffer(raw, np.uint32, k, 64 * k), dtype=np.uint32))
         bits.append(np.frombuffer(raw, np.uint8, k, 68 * k))
     x, own, place, bits = (np.concatenate(v) for v in (x, own, place, bits))
     x = x.astype(np.uint64)
@@ -329,9 +334,9 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", kept: boo
     buckets, n_ranges = max(1, total // BUCKET_BYTES), max(1, total // RANGE_BYTES)
     shared = settle_table(_shared_minimizers(dealt(refs), buckets), "minimizers")
     cuts = _range_cuts(dealt(refs), n_ranges)
-    sent = settle_table(_suffixes(dealt(refs.join(shared, "slice")), cuts), "suffixes")
-    finds = sent.where("range >= 0").groupBy("range").applyInArrow(_sorted_range, "slice long, finds binary")
-    local = sent.where("range < 0").select("slice", F.col("n"), F.col("entries"))
+    listed = dealt(refs.join(shared, "slice"))
+    finds = settle_table(_suffixes(listed, cuts, False).groupBy("range").applyInArrow(_sorted_range, "slice long, finds binary"), "finds")
+    local = _suffixes(listed, cuts, True).select("slice", "n", "entries")
     by_slice = finds.groupBy("slice").agg(F.collect_list("finds").alias("finds"))
     mine = local.groupBy("slice").agg(F.collect_list(F.struct("n", "entries")).alias("mine"))
     whole = dealt(refs.join(by_slice, "slice", "left").join(mine, "slice", "left"))
