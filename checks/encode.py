@@ -133,7 +133,7 @@ def one_hot_features(spark, sf):
     a = ampute(parts(spark, sf).select("row_id", "p_size", "p_type"), ["p_size", "p_type"], 0.3, "MCAR", SEED)
     pipe = FeaturePipeline.fit(a, ["p_type"], ["p_size"])
     v = pipe.transform(a).select("row_id", vector_to_array("features").alias("v"))
-    rest = F.slice("v", 2, 1000)
+    rest = F.slice("v", F.lit(2), F.size("v"))
     return v.select("row_id", F.round(F.col("v")[0], 7).alias("f0"),
                     (F.array_position(rest, 1.0) - 1).alias("slot"), F.size(rest).cast("long").alias("slots"))
 

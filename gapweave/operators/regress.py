@@ -190,19 +190,23 @@ class _TreeBase(Regressor):
 class XgbLike(_TreeBase):
     """Boosted trees: depth 3, rate 0.3, 10 rounds."""
 
+    def __init__(self, features, label, row_id=ROW_ID, seed: int = 0):
+        super().__init__(features, label, row_id)
+        self.seed = seed
+
     def make(self):
-        return GBTRegressor(maxDepth=3, stepSize=0.3, maxIter=10, seed=0)
+        return GBTRegressor(maxDepth=3, stepSize=0.3, maxIter=10, seed=self.seed)
 
 
 class LgbLike(_TreeBase):
     """Boosted trees near 31 leaves: depth 5, rate 0.1, 100 rounds, 20 rows per leaf."""
 
-    def __init__(self, features, label, row_id=ROW_ID, rounds: int = 100):
+    def __init__(self, features, label, row_id=ROW_ID, rounds: int = 100, seed: int = 0):
         super().__init__(features, label, row_id)
-        self.rounds = rounds
+        self.rounds, self.seed = rounds, seed
 
     def make(self):
-        return GBTRegressor(maxDepth=5, stepSize=0.1, maxIter=self.rounds, minInstancesPerNode=20, seed=0)
+        return GBTRegressor(maxDepth=5, stepSize=0.1, maxIter=self.rounds, minInstancesPerNode=20, seed=self.seed)
 
 
 class AdaBoostRegressor(_TreeBase):

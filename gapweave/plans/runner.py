@@ -62,7 +62,7 @@ class Runner:
             except Exception as e:
                 if not self.ignore_errors:
                     raise
-                return res | {"imputer_error": True, "error": str(e)[:500]}
+                return res | {"imputer_error": True, "error": str(e)}
             res |= extra
         if self.analyze:
             values, res["t_meta"] = limited(self.spark, lambda: meta_features(gaps, d.features, d.label, self.analyze, seed=seed), self.time_limit)
@@ -82,7 +82,7 @@ class Runner:
         except Exception as e:
             if not self.ignore_errors:
                 raise
-            res |= {"regressor_error": True, "error": str(e)[:500]}
+            res |= {"regressor_error": True, "error": str(e)}
         return res
 
     def run_plan(self, plan: DataFrame, root: str | None = None, tag: str | None = None) -> DataFrame:
