@@ -23,7 +23,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gapweave.llm.tokens import ALNUM, column, slices, words
-from gapweave.session import settle, settle_table
 
 #: A token's id is (high, low) digit in base SIDE; the network predicts high, then low given high.
 SIDE, HIDDEN, REACH = 32, 16, 2
@@ -172,27 +171,32 @@ def _round(docs: DataFrame, text: str, known: np.ndarray, weights: Weights) -> W
                         w[k] -= np.float32(rate) * first[k] / (np.sqrt(second[k]) + np.float32(1e-8))
                         np.clip(w[k], -4, 4, out=w[k])
         if total:
-            summed = (np.frombuffer(_pack(w), np.float32).astype(np.float64) * total).tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([float(total)]), pa.array([summed], pa.binary())], ["part", "n", "w"])
+            yield _row(TaskContext.get().partitionId(), float(total), np.frombuffer(_pack(w), np.float32))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, w, part = 0.0, None, None
         for batch in batches:
             for p, m, v in zip(column(batch, "part").to_pylist(), column(batch, "n").to_pylist(), column(batch, "w"), strict=True):
-                v = np.frombuffer(v.as_buffer(), np.float64)
-                n, w, part = n + m, v.copy() if w is None else w + v, p if part is None else min(p, part)
+                v = np.frombuffer(v.as_buffer(), np.float32) * m
+                n, w, part = n + m, v if w is None else w + v, p if part is None else min(p, part)
         if w is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([n]), pa.array([w.tobytes()], pa.binary())], ["part", "n", "w"])
+            yield _row(part, n, w / n)
 
     schema = "part long, n double, w binary"
-    rows = settle_table(docs.select(text).mapInArrow(run, schema), "weights")
-    while (count := rows.count()) > FAN:
-        rows = settle(rows.repartition(-(-count // FAN), "part").sortWithinPartitions("part").mapInArrow(add, schema))
+    count, rows = docs.rdd.getNumPartitions(), docs.select(text).mapInArrow(run, schema)
+    while count > FAN:
+        count = -(-count // FAN)
+        rows = rows.repartition(count, "part").sortWithinPartitions("part").mapInArrow(add, schema)
     parts = sorted(rows.collect(), key=lambda r: r["part"])
     sent.unpersist()
     if not parts:
         return weights
-    return _unpack(np.sum([np.frombuffer(r["w"], np.float64) for r in parts], axis=0) / sum(r["n"] for r in parts))
+    return _unpack(np.sum([np.frombuffer(r["w"], np.float32) * r["n"] for r in parts], axis=0) / sum(r["n"] for r in parts))
+
+
+def _row(part: int, n: float, w: np.ndarray) -> pa.RecordBatch:
+    """Mean weights of ``n`` tokens, half as long as their sum would be."""
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([n]), pa.array([w.astype(np.float32).tobytes()], pa.binary())], ["part", "n", "w"])
 
 
 def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> tuple[np.ndarray, Weights]:
