@@ -26,8 +26,10 @@ from gapweave.llm.tokens import column, lists
 
 SPACE = "▁"
 #: Chunks longer than this are merged anew each time; entries a task keeps before it starts over.
-LONG_CHUNK, CACHE = 48, 500_000
-#: Of each Arrow batch, every so many-th text is checked whole.
+LONG_CHUNK, CACHE = 48, 300_000
+#: Rows of a batch handled at once: bounds what a task holds besides the batch.
+TOGETHER = 1024
+#: Of these rows, every so many-th text is checked whole.
 CHECK_EVERY = 64
 
 
@@ -115,6 +117,12 @@ def merge(v: Vocabulary, chunk: str) -> list[int]:
     return out
 
 
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for at in range(0, len(whole), TOGETHER):
+            yield whole.slice(at, TOGETHER)
+
+
 def _checked(lib, v: Vocabulary, cache: dict[str, bytes], chunks: list[str]) -> None:
     """The library puts a space before every text; a chunk that begins with one loses it first, the
     others are merged once more with one."""
@@ -133,7 +141,7 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", ids: str = "ids")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, lib = vocabulary(sent.value), library(sent.value)
         cut, cache = re.compile(v.chunks).findall, {}
-        for batch in batches:
+        for batch in _small(batches):
             texts, parts, fresh = column(batch, text).to_pylist(), [], []
             for at, t in enumerate(texts):
                 if not t:
@@ -174,7 +182,7 @@ def decode(docs: DataFrame, model: bytes, ids: str = "ids", decoded: str = "deco
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(sent.value)
         table = np.array(v.table, object)
-        for batch in batches:
+        for batch in _small(batches):
             col = column(batch, ids)
             if col.null_count:
                 col = pa.array([x or [] for x in col.to_pylist()], pa.list_(pa.int32()))
