@@ -3,8 +3,9 @@
 ``encode`` and ``decode`` are column-to-column operators on any frame. A text is cut where no
 piece of the vocabulary can reach across, so each distinct chunk is merged once per task and then
 looked up. The agenda is a heap ordered by (score, place from the left), the order in which the
-library merges. In every Arrow batch the chunks merged for the first time, and a share of whole
-texts, are encoded by the library as well; a difference stops the job.
+library merges. In every Arrow batch the chunks merged for the first time, a share of whole texts, and
+every whole text with a pair of characters on either side of a cut that the task has not met yet are
+encoded by the library as well; a difference stops the job.
 
 Null texts count as empty and give no ids. Other columns are passed through.
 """
@@ -15,6 +16,7 @@ import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,8 @@ from pyspark.sql import types as T
 from gapweave.llm.tokens import column, lists
 
 SPACE = "▁"
+#: A letter of the cut.
+LETTER = r"[^\W\d_]"
 #: Chunks longer than this are merged anew each time; entries a task keeps before it starts over.
 LONG_CHUNK, CACHE = 48, 300_000
 #: Rows of a batch handled at once: bounds what a task holds besides the batch.
@@ -78,10 +82,12 @@ def vocabulary(model: bytes) -> Vocabulary:
     elif any("\n" in p and len(p) > 1 for p in ids):
         cut = f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+"
     else:
-        # A letter is never joined to what no piece has after a letter.
-        follows = {b for p in ids for a, b in zip(p, p[1:]) if a.isalpha() and not b.isalpha()}
+        # A letter is never joined to what no piece has after a letter. Letters are what the cut takes
+        # for them, so signs such as a superscript two, not alphabetic, are among them.
+        letter = re.compile(LETTER).match
+        follows = {b for p in ids for a, b in zip(p, p[1:]) if letter(a) and not letter(b)}
         ends = "".join(c for c in ".,;:!?|\"()*#$%&" if c not in follows)
-        cut = f"\n|{SPACE}*[^\\W\\d_]+(?=[{SPACE}\n{re.escape(ends)}]|\\Z)|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+"
+        cut = f"\n|{SPACE}*{LETTER}+(?=[{SPACE}\n{re.escape(ends)}]|\\Z)|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+"
     return Vocabulary(ids, scores, fallback, lib.unk_id(), table, cut)
 
 
@@ -140,7 +146,7 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", ids: str = "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, lib = vocabulary(sent.value), library(sent.value)
-        cut, cache = re.compile(v.chunks).findall, {}
+        cut, cache, met = re.compile(v.chunks).findall, {}, set()
         for batch in _small(batches):
             texts, parts, fresh = column(batch, text).to_pylist(), [], []
             for at, t in enumerate(texts):
@@ -160,11 +166,15 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", ids: str = "ids")
                                 fresh.append(c)
                         out.append(got)
                     parts.append(b"".join(out))
-                if at % CHECK_EVERY == 0 and parts[-1] != np.array(lib.encode(t), np.int32).tobytes():
+                new = {a[-1] + b[0] for a, b in pairwise(chunks)} - met
+                met |= new
+                if (new or at % CHECK_EVERY == 0) and parts[-1] != np.array(lib.encode(t), np.int32).tobytes():
                     raise AssertionError(f"the library encodes a text otherwise: {t[:80]!r}")
             _checked(lib, v, cache, fresh)
             if len(cache) > CACHE:
                 cache.clear()
+            if len(met) > CACHE:
+                met.clear()
             values = np.frombuffer(b"".join(parts), np.int32)
             lengths = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
             yield pa.RecordBatch.from_arrays([*[column(batch, c) for c in kept], lists(values, lengths, pa.int32())], [*kept, ids])

@@ -135,6 +135,28 @@ def test_pieces_are_the_librarys(spark, awkward, empty, texts):
     assert pieces.digests(empty, MODEL).count() == 0
 
 
+def test_pieces_across_letters_that_are_not_alphabetic(spark):
+    lib = sentencepiece.SentencePieceProcessor(model_proto=MODEL)
+    rows = ["no signs", "an area of 5 km².", "m²., km².", "²., x². ½. Ⅷ, ①)", "a².b².\n²."]
+    docs = spark.createDataFrame([*enumerate(rows)], "doc_id long, text string").coalesce(1)
+    assert {r.text: r.ids for r in pieces.encode(docs, MODEL).collect()} == {t: lib.encode(t) for t in rows}
+
+
+def test_pieces_cut_wrongly_stop_the_job(spark, monkeypatch):
+    """A text that is not among the sampled ones, cut where a piece reaches across."""
+    right = pieces.vocabulary
+
+    def wrong(model):
+        v = right(model)
+        v.chunks = v.chunks.replace("|\\Z", "|\\.|\\Z")
+        return v
+
+    monkeypatch.setattr(pieces, "vocabulary", wrong)
+    docs = spark.createDataFrame([(0, "no signs"), (1, "an area of 5 km².")], "doc_id long, text string").coalesce(1)
+    with pytest.raises(Exception, match="encodes a text otherwise"):
+        pieces.encode(docs, MODEL).collect()
+
+
 def test_pieces_of_a_frame_with_a_column_of_that_name(spark, awkward):
     out = pieces.encode(awkward, MODEL)
     assert out.columns.count("ids") == 1 and out.where("key = 'other'").count() == awkward.count()
