@@ -1,10 +1,12 @@
 """Language-model scores by masked pseudo-likelihood.
 
 A token is a word of the corpus's most frequent ones, or a class of rarer words by hash. A small network
-sees the ``REACH`` tokens on either side of a place and predicts the token there; a document's score
-is the sum of the logarithms of these conditional probabilities over all of its tokens.
+sees the ``REACH`` tokens on either side of a place and predicts the token there. The probability of a rarer
+word is that of its class times the word's share of the class, by its count in the whole corpus; words not
+in the corpus have together the share that one occurrence more would have. A document's score
+is the sum of the logarithms of these conditional probabilities over all of its words.
 
-The vocabulary is counted over all documents. Training runs where the documents are: in each round
+All words of all documents are counted, in a table that is never gathered. Training runs where the documents are: in each round
 every task starts from the same weights, goes through all tokens of its documents, and returns
 its weights; their mean, weighted by tokens and summed in a tree, begins the next round. So
 what is learned from, counted and moved grows with the corpus; no more than a few sets of weights reach the driver.
@@ -22,7 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapweave.llm.tokens import ALNUM, column, slices, words
+from gapweave.llm.tokens import ALNUM, column, mix, slices, words
+from gapweave.session import settle_table
 
 #: A token's id is (high, low) digit in base SIDE; the network predicts high, then low given high.
 SIDE, HIDDEN, REACH = 32, 16, 2
@@ -31,12 +34,14 @@ OFFSETS = [*range(-REACH, 0), *range(1, REACH + 1)]
 ROUNDS, BATCH, RATE = 2, 8192, 0.005
 #: Sets of weights summed by one task of the tree, and at most on the driver.
 FAN = 16
+#: Logarithms of counts are added up as whole numbers of this part.
+UNITS = 10**9
 
 Weights = dict[str, np.ndarray]
 
 
-def vocabulary(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """Sorted hashes of the most frequent words of all documents; ties go to the smaller hash."""
+def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(word: hash, n) of every word of all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_h, held_n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -51,10 +56,29 @@ def vocabulary(docs: DataFrame, text: str = "text") -> np.ndarray:
                     held_h, held_n = held_h[:0], held_n[:0]
         yield pa.RecordBatch.from_arrays([pa.array(held_h.view(np.int64)), pa.array(held_n)], ["word", "n"])
 
-    top = docs.select(text).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(KNOWN)
+    return docs.select(text).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def frequent(counts: DataFrame) -> np.ndarray:
+    """Sorted hashes of the most frequent words; ties go to the smaller hash."""
+    top = counts.orderBy(F.desc("n"), "word").limit(KNOWN)
     return np.sort(np.array([r["word"] for r in top.collect()], np.int64).view(np.uint64))
 
 
+def vocabulary(docs: DataFrame, text: str = "text") -> np.ndarray:
+    return frequent(word_counts(docs, text))
+
+
+def class_counts(counts: DataFrame, known: np.ndarray) -> np.ndarray:
+    """Occurrences of the words of each class."""
+    rows = counts.groupBy(F.pmod("word", F.lit(TOKENS - KNOWN)).cast("int").alias("c")).agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(TOKENS - KNOWN, np.int64)
+    out[[r["c"] for r in rows]] = [r["n"] for r in rows]
+    for r in counts.where(F.col("word").isin(known.view(np.int64).tolist())).collect():
+        out[r["word"] % (TOKENS - KNOWN)] -= r["n"]
+    return out
+
+
 def ids_of(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
     """Token of each word: its place among the known ones, else a class from its hash."""
     other = KNOWN + (hashes % np.uint64(TOKENS - KNOWN)).astype(np.int64)
@@ -199,16 +223,28 @@ def _row(part: int, n: float, w: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([n]), pa.array([w.astype(np.float32).tobytes()], pa.binary())], ["part", "n", "w"])
 
 
-def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> tuple[np.ndarray, Weights]:
-    """Known words and weights."""
-    known, weights = vocabulary(docs, text), beginning()
+def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> tuple[np.ndarray, Weights, DataFrame]:
+    """Known words, weights, and the counts of all words."""
+    counts = settle_table(word_counts(docs, text), "words")
+    known, weights = frequent(counts), beginning()
     for _ in range(rounds):
         weights = _round(docs, text, known, weights)
-    return known, weights
+    return known, weights, counts
+
 
+def _totals(w: Weights, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sum of the logarithms over each document's tokens."""
+    around = neighbours(ids, bounds)
+    log_p = np.concatenate([np.zeros(0), *[_forward(w, around[at:at + BATCH], ids[at:at + BATCH])[0].astype(np.float64) for at in range(0, len(ids), BATCH)]])
+    upto = np.r_[0.0, np.cumsum(log_p)]
+    return upto[bounds[1:]] - upto[bounds[:-1]]
 
-def score(docs: DataFrame, model: tuple[np.ndarray, Weights], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_tokens, log_prob (sum over tokens), mean_log_prob of every row."""
+
+def score(docs: DataFrame, model: tuple, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, n_tokens, log_prob (sum over tokens), mean_log_prob of every row. ``model`` is known words and
+    weights, for scores of tokens, and the counts of all words, for scores of the words themselves."""
+    if len(model) > 2:
+        return _word_scores(docs, *model, key, text)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,13 +252,46 @@ def score(docs: DataFrame, model: tuple[np.ndarray, Weights], key: str = "doc_id
         for batch in batches:
             for part in slices(column(batch, text)):
                 found = words(part, ALNUM)
-                ids = ids_of(found.hash, known)
-                around = neighbours(ids, found.bounds)
-                log_p = np.concatenate([np.zeros(0), *[_forward(w, around[at:at + BATCH], ids[at:at + BATCH])[0].astype(np.float64) for at in range(0, len(ids), BATCH)]])
-                upto = np.r_[0.0, np.cumsum(log_p)]
-                total = upto[found.bounds[1:]] - upto[found.bounds[:-1]]
-                n = found.per_row
+                total, n = _totals(w, ids_of(found.hash, known), found.bounds), found.per_row
                 mean = pa.array(np.round(total / np.maximum(n, 1), 6), mask=n == 0)
                 yield pa.RecordBatch.from_arrays([column(batch, key).slice(part.first, part.rows), pa.array(n, pa.int64()), pa.array(np.round(total, 4)), mean], [key, "n_tokens", "log_prob", "mean_log_prob"])
 
     return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, n_tokens long, log_prob double, mean_log_prob double")
+
+
+def _word_scores(docs: DataFrame, known: np.ndarray, weights: Weights, counts: DataFrame, key: str, text: str) -> DataFrame:
+    """A share is the word's count over that of its class: the class's part is added where the document
+    is read, the word's by a join with the counts, once for each rarer word of a document."""
+    sent = docs.sparkSession.sparkContext.broadcast((known, weights, np.log(class_counts(counts, known) + 1.0)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words_known, w, of_class = sent.value
+        row = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for part in slices(column(batch, text)):
+                found = words(part, ALNUM)
+                ids, n = ids_of(found.hash, words_known), found.per_row
+                rare = np.flatnonzero(ids >= KNOWN)
+                at = np.repeat(np.arange(part.rows), n)[rare]
+                less = np.bincount(at, of_class[ids[rare] - KNOWN], part.rows)
+                # One row for each document, under a word of no count; then its words.
+                order = np.lexsort((found.hash[rare], at))
+                at, word = at[order], found.hash[rare][order]
+                new = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (word[1:] != word[:-1])][:len(at)])
+                times = np.diff(np.r_[new, len(at)])
+                own, other = np.arange(part.rows), np.ones(part.rows + len(new), bool)
+                other[:part.rows] = False
+                keys = column(batch, key).slice(part.first, part.rows).take(pa.array(np.r_[own, np.zeros(len(new), np.int64)], mask=other))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(row + np.r_[own, at[new]]), pa.array(np.r_[mix((row + own).astype(np.uint64)), word[new]].view(np.int64)), pa.array(np.r_[np.zeros_like(own), times]), keys,
+                    pa.array(np.r_[n, np.zeros(len(new), np.int64)], pa.int64(), mask=other), pa.array(np.r_[_totals(w, ids, found.bounds) - less, np.zeros(len(new))], mask=other)],
+                    ["row", "word", "times", "key", "n_tokens", "total"])
+                row += part.rows
+
+    rows = docs.select(F.col(key), F.col(text)).mapInArrow(run, f"row long, word long, times long, key {docs.schema[key].dataType.simpleString()}, n_tokens long, total double")
+    # Sums of whole numbers don't depend on their order. Words met once add nothing.
+    logs = counts.where("n > 1").select("word", F.round(F.log("n") * UNITS).cast("long").alias("log"))
+    sums = rows.join(logs, "word", "left").groupBy("row").agg(
+        F.first("key", True).alias(key), F.max("n_tokens").alias("n_tokens"), F.max("total").alias("total"), F.sum(F.col("times") * F.coalesce("log", F.lit(0))).alias("more"))
+    total = F.col("total") + F.col("more") / UNITS
+    return sums.select(F.col(f"`{key}`"), "n_tokens", F.round(total, 4).alias("log_prob"), F.when(F.col("n_tokens") > 0, F.round(total / F.col("n_tokens"), 6)).alias("mean_log_prob"))

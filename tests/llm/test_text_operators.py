@@ -205,6 +205,44 @@ def test_masked_scores(spark, awkward, empty, small, texts):
     assert len(nothing[0]) == 0 and masked.score(empty, nothing).count() == 0
 
 
+def test_masked_scores_of_words_beyond_the_frequent_ones(spark, awkward, empty, small, texts):
+    """Each word of a class by its share in the whole corpus; an invented word has the share of one occurrence."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    known, w, table = model = masked.train(docs, rounds=1)
+    counts, classes = {}, {}
+    for t in texts.values():
+        for h in words(sliced([t or ""]), ALNUM).hash.tolist():
+            counts[h] = counts.get(h, 0) + 1
+    assert {r.word % 2**64: r.n for r in table.collect()} == counts and len(counts) > masked.TOKENS
+    frequent = set(known.tolist())
+    for h, n in counts.items():
+        if h not in frequent:
+            classes[h % (masked.TOKENS - masked.KNOWN)] = classes.get(h % (masked.TOKENS - masked.KNOWN), 0) + n
+
+    def brute(text):
+        n, total = brute_score(text, known, w)
+        for h in words(sliced([text]), ALNUM).hash.tolist():
+            if h not in frequent:
+                total += np.log(counts.get(h, 1) / (classes.get(h % (masked.TOKENS - masked.KNOWN), 0) + 1))
+        return n, total
+
+    got = masked.score(docs, model).collect()
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    for r in got[:20]:
+        n, total = brute(texts[r.doc_id] or "")
+        assert r.n_tokens == n and abs(r.log_prob - total) < 1e-3 * max(1, n)
+    # A rarer word met often, and an invented one of its class: the network alone cannot tell them apart.
+    often = max((h for h in counts if h not in frequent), key=counts.get)
+    names = {h: x for t in texts.values() for x in WORD.findall((t or "").translate(LOWER)) for h in words(sliced([x]), ALNUM).hash.tolist()}
+    made = next(x for x in (f"zzq{i}" for i in range(10**5)) if (h := int(words(sliced([x]), ALNUM).hash[0])) not in counts and (h - often) % 256 == 0)
+    two = {r.doc_id: r.log_prob for r in masked.score(spark.createDataFrame([(0, names[often]), (1, made)], "doc_id long, text string"), model).collect()}
+    assert abs(two[0] - two[1] - np.log(counts[often])) < 1e-3
+    odd = masked.score(awkward, model).collect()
+    assert len(odd) == awkward.count() and all((r.mean_log_prob is None) == (r.n_tokens == 0) for r in odd)
+    assert len({(r.n_tokens, r.log_prob) for r in odd if r.doc_id in (1, 2)}) == 1
+    assert masked.score(empty, model).count() == 0
+
+
 def test_masked_gradients_agree_with_differences():
     rng = np.random.default_rng(2)
     w = {k: (v + rng.standard_normal(v.shape) * 0.3).astype(np.float32) for k, v in masked.beginning().items()}
