@@ -8,8 +8,8 @@ Buckets are cut into blocks of bounded size. In a block, pairs that the signatur
 the most similar on; a pair whose ends are joined already is passed over, any other is checked on its
 full sets and, if confirmed, emitted. So a block of n nodes emits n - 1 links at most, and a group of
 copies costs about as many checks as it has members. A first wave does so with a few bands and the
-blocks themselves; the second takes all bands where buckets still hold several components, and lets the
-nodes outside a bucket's largest component meet every block of it. Full sets are sent only for the
+blocks themselves; the second takes all bands where buckets still hold several components, deals the nodes
+outside a bucket's largest component into blocks as well, and lets each of these meet every other block once. Full sets are sent only for the
 nodes that the signatures give a partner. Links and components are tables throughout.
 """
 
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gapweave.llm.tokens import SPACE, Slice, column, lists, mix, shingle_hash, slices, words
@@ -32,7 +32,7 @@ BANDS, ROWS = 28, 4
 #: Minima in the signature, low bits kept of each, and how far below the wanted similarity an
 #: estimate may lie before the pair is given up (some five standard deviations).
 MINIMA, BITS, MARGIN = 256, 4, 0.125
-#: Nodes in a block; pairs estimated together.
+#: Nodes in a block, on average (two blocks may meet); pairs estimated together.
 BLOCK, PAIRS = 256, 1 << 19
 #: Links up to which one task finds all components (some 50 MB); beyond, tables of stars do.
 ONE_TASK = 1 << 19
@@ -152,9 +152,8 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(together) - shared)
 
 
-def _links(left: list[int], right: list[int], node: list[bytes], comp: list[bytes], shingles: list[bytes], percent: int) -> list[tuple[bytes, bytes]]:
-    """Confirmed pairs, best first, that join what is not joined yet."""
-    parent: dict[bytes, bytes] = {}
+def _links(left: list[int], right: list[int], node: list[bytes], comp: list[bytes], shingles: list[bytes], percent: int, parent: dict[bytes, bytes]) -> list[tuple[bytes, bytes]]:
+    """Confirmed pairs, best first, that join what is not joined yet by ``parent``."""
     sets: dict[int, np.ndarray] = {}
 
     def root(x: bytes) -> bytes:
@@ -180,21 +179,25 @@ def _block_task(least: float, percent: int | None):
     """Works on rows sorted by (bucket, block). Without ``percent``, rows that have a partner of
     another component by signature come out again; with it, links confirmed on the rows' sets."""
 
-    def partners(group: np.ndarray, comp: np.ndarray, signature: np.ndarray, minor: np.ndarray):
-        """(left, right) pairs within groups, some whole groups at a time, the best first."""
+    def partners(group: np.ndarray, comp: np.ndarray, signature: np.ndarray, side: np.ndarray):
+        """(left, right) pairs within groups, the best first: some whole groups at a time, or a group of
+        more than PAIRS in parts. Rows pair with those of the other side, rows of side 2 also among themselves."""
         n = len(group)
         new = np.r_[True, group[1:] != group[:-1]]
-        last = np.r_[np.flatnonzero(new)[1:], n][np.cumsum(new) - 1]  # end of each row's group
+        start = np.flatnonzero(new)[np.cumsum(new) - 1]  # begin and end of each row's group
+        last = np.r_[np.flatnonzero(new)[1:], n][np.cumsum(new) - 1]
         count = last - np.arange(n) - 1
         upto = np.cumsum(count)
         at = 0
         while at < n:
             to = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, "right"))
-            to = int(last[min(n, max(to, at + 1)) - 1])
+            if to < n and start[to] > at:
+                to = int(start[to])
+            to = max(to, at + 1)
             left = np.repeat(np.arange(at, to), count[at:to])
             before = np.cumsum(count[at:to]) - count[at:to]
             right = left + 1 + np.arange(len(left)) - np.repeat(before, count[at:to])
-            ok = (minor[left] | minor[right]) & (comp[left] != comp[right])
+            ok = ((side[left] != side[right]) | (side[left] == 2)) & (comp[left] != comp[right])
             left, right = left[ok], right[ok]
             est = estimate(signature[left], signature[right])
             ok = est >= least
@@ -209,8 +212,7 @@ def _block_task(least: float, percent: int | None):
         comps = table["comp"].to_pylist()
         number = {c: i for i, c in enumerate(set(comps))}
         signature = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint8).reshape(len(table), -1)
-        minor = table["minor"].to_numpy().astype(bool)
-        pairs = partners(group, np.array([number[c] for c in comps]), signature, minor)
+        pairs = partners(group, np.array([number[c] for c in comps]), signature, table["side"].to_numpy())
         if percent is None:
             keep = np.zeros(len(table), bool)
             for left, right in pairs:
@@ -218,7 +220,8 @@ def _block_task(least: float, percent: int | None):
             yield from table.filter(pa.array(keep)).combine_chunks().to_batches()
             return
         node, shingles = table["node"].to_pylist(), table["shingles"].to_pylist()
-        found = [x for left, right in pairs for x in _links(left.tolist(), right.tolist(), node, comps, shingles, percent)]
+        parent: dict[bytes, bytes] = {}
+        found = [x for left, right in pairs for x in _links(left.tolist(), right.tolist(), node, comps, shingles, percent, parent)]
         if found:
             a, b = zip(*found, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
@@ -254,12 +257,26 @@ def wave(members: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, ba
     one of the first ``bands`` bands: within blocks, or with ``across`` also between them."""
     rows = members.where(F.col("band") < bands).join(nodes.select("node", "comp", "signature"), "node")
     split = rows.groupBy("bucket", "comp").agg(F.count("*").alias("n")).groupBy("bucket").agg(
-        F.sum("n").alias("n"), F.count("*").alias("comps"), F.max_by("comp", F.struct("n", "comp")).alias("largest")).where("comps > 1").select(
-        "bucket", "largest", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(split, "bucket").withColumn("minor", F.lit(True) if not across else F.col("comp") != F.col("largest"))
-    own = F.pmod(F.xxhash64("node", F.lit(bands)), F.col("blocks")).cast("int")
-    every = F.when(F.col("minor"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))
-    rows = rows.withColumn("block", F.explode(every) if across else own).select("bucket", "block", "node", "comp", "signature", "minor")
+        F.sum("n").alias("n"), F.max("n").alias("major"), F.count("*").alias("comps"), F.max_by("comp", F.struct("n", "comp")).alias("largest")).where("comps > 1")
+    by = F.xxhash64("node", F.lit(bands))
+
+    def blocks(n: Column) -> Column:
+        return F.ceil(n / BLOCK).cast("int")
+
+    if across:
+        # Blocks 0 to low - 1 hold the nodes outside the largest component, low to all - 1 its own. Of two that
+        # meet, the lesser is on the left; its nodes meet each other where it meets block low.
+        split = split.select("bucket", "largest", blocks(F.col("n") - F.col("major")).alias("low"), blocks(F.col("major")).alias("high"))
+        minor, low, own, other = F.col("comp") != F.col("largest"), F.col("low"), F.col("own"), F.col("other")
+        rows = rows.join(split, "bucket").withColumn("all", low + F.col("high")).withColumn(
+            "own", F.when(minor, F.pmod(by, low)).otherwise(low + F.pmod(by, F.col("high"))).cast("int")).withColumn(
+            "other", F.explode(F.sequence(F.lit(0), F.when(minor, F.col("all")).otherwise(low) - 1))).where("other <> own")
+        block = F.least(own, other).cast("long") * F.col("all") + F.greatest(own, other)
+        side = F.when(other < own, 1).when(other == low, 2).otherwise(0)
+    else:
+        rows = rows.join(split.select("bucket", blocks(F.col("n")).alias("all")), "bucket")
+        block, side = F.pmod(by, F.col("all")).cast("long"), F.lit(2)
+    rows = rows.select("bucket", block.alias("block"), "node", "comp", "signature", side.cast("int").alias("side"))
     least = percent / 100 - MARGIN
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
 

@@ -126,6 +126,35 @@ def test_large_bucket_in_blocks(spark, monkeypatch):
     assert tally(nearcopies.near_copies(docs).collect()) == Counter(brute_groups(rows))
 
 
+def test_unlinked_nodes_of_a_bucket_are_dealt_out(spark, monkeypatch):
+    """Nodes outside a bucket's largest component: bounded groups, every pair of components once, bounded pairs."""
+    rng, block = np.random.default_rng(5), 16
+    node = [bytes([i, 7]) for i in range(200)]
+    comp = [node[max(i, 49)] for i in range(200)]
+    nodes = spark.createDataFrame([(n, c, rng.bytes(128)) for n, c in zip(node, comp, strict=True)], "node binary, comp binary, signature binary")
+    members = spark.createDataFrame([(0, 1, n) for n in node], "band int, bucket long, node binary")
+    sets = spark.createDataFrame([], "node binary, shingles binary")
+    task, dealt = nearcopies._block_task, []
+    monkeypatch.setattr(nearcopies, "BLOCK", block)
+    monkeypatch.setattr(nearcopies, "PAIRS", 100)
+    monkeypatch.setattr(nearcopies, "_block_task", lambda least, percent: lambda batches: batches if percent is None else iter(()))
+    monkeypatch.setattr(nearcopies, "settle_table", lambda df, label: dealt.append(df) or df)
+    nearcopies.wave(members, nodes, sets, 85, 1, True)
+    groups = {}
+    table = dealt[0].toArrow().sort_by([("bucket", "ascending"), ("block", "ascending")])
+    for r in table.to_pylist():
+        groups.setdefault((r["bucket"], r["block"]), []).append(r)
+    assert max(map(len, groups.values())) <= 4 * block
+    met = Counter()
+    for rows in groups.values():
+        met.update(frozenset((x["node"], y["node"])) for i, x in enumerate(rows) for y in rows[:i] if x["comp"] != y["comp"] and (x["side"] != y["side"] or x["side"] == 2))
+    assert met == Counter(frozenset((node[i], node[j])) for i in range(200) for j in range(i) if comp[i] != comp[j])
+    sizes = []
+    monkeypatch.setattr(nearcopies, "estimate", lambda a, b: sizes.append(len(a)) or np.ones(len(a)))
+    assert sum(map(len, task(0.5, None)(iter(table.combine_chunks().to_batches())))) == len(table)
+    assert sum(sizes) == len(met) and max(sizes) <= 100
+
+
 def test_estimates_are_near_the_similarity():
     rng = np.random.default_rng(3)
     for share in (0.3, 0.6, 0.85, 0.95):
