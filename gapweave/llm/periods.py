@@ -67,7 +67,7 @@ def _stretches(h: np.ndarray, bounds: np.ndarray, rule: Rule) -> tuple[np.ndarra
     place, near = place[held], near[held]
     order = np.argsort(place)
     place, near = place[order], near[order]
-    begin = np.flatnonzero(np.r_[True, (np.diff(place) > 1) | (row[place[1:]] != row[place[:-1]])])
+    begin = np.flatnonzero(np.r_[True, (np.diff(place) > gram) | (row[place[1:]] != row[place[:-1]])])
     last = np.r_[begin[1:], len(place)] - 1
     # No common prefix reaches over the end of a stretch.
     left = np.repeat(place[last], last - begin + 1) + gram - place
