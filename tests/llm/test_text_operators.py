@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 from gapweave.llm import langid, licences, masked, pieces, quality
 from gapweave.llm.tokens import ALNUM, SPACE, Slice, words
@@ -128,6 +129,10 @@ def test_pieces_are_the_librarys(spark, awkward, empty, texts):
     for r in got:
         ids = lib.encode(r.text or "")
         assert r.ids == ids and r.decoded == lib.decode(ids)
+    for r in pieces.digests(docs.withColumn("doc_id", F.struct("doc_id", "text")), MODEL).collect():
+        ids = lib.encode(r.doc_id.text or "")
+        want = (len(ids), *[hashlib.sha256(x.encode()).hexdigest() for x in (",".join(map(str, ids)), lib.decode(ids))])
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == want
     digest = pieces.digests(awkward, MODEL).collect()
     assert len(digest) == awkward.count()
     null = next(r for r in digest if r.doc_id == 3)
@@ -148,7 +153,7 @@ def test_pieces_cut_wrongly_stop_the_job(spark, monkeypatch):
 
     def wrong(model):
         v = right(model)
-        v.chunks = v.chunks.replace("|\\Z", "|\\.|\\Z")
+        v.apart["²".encode()[-1], ord(".")] = True
         return v
 
     monkeypatch.setattr(pieces, "vocabulary", wrong)
@@ -157,6 +162,18 @@ def test_pieces_cut_wrongly_stop_the_job(spark, monkeypatch):
         pieces.encode(docs, MODEL).collect()
 
 
+def test_agenda_tables_join_as_the_heap_does():
+    v = pieces.vocabulary(MODEL)
+    coder = pieces.Coder(MODEL, v)
+    rng = np.random.default_rng(8)
+    chunks = sorted({" " * int(rng.integers(0, 3)) + "".join(rng.choice(list("theaioinrsTé1-"), int(rng.integers(1, 30)))) for _ in range(500)})
+    coder._learn(chunks)
+    for i, c in enumerate(chunks):
+        got = coder.flat[coder.at[i]:coder.at[i + 1]].tolist()
+        assert got == pieces.merge(v, c.replace(" ", pieces.SPACE))
+        assert coder.decimal[i] == "".join(f"{x}," for x in got).encode()
+
+
 def test_pieces_of_a_frame_with_a_column_of_that_name(spark, awkward):
     out = pieces.encode(awkward, MODEL)
     assert out.columns.count("ids") == 1 and out.where("key = 'other'").count() == awkward.count()
