@@ -8,7 +8,6 @@ it again, ``run`` does so in the shared folder.
 from pathlib import Path
 
 import public_tokenizers
-from pyspark.sql import functions as F
 
 from gapweave.llm import lines, nearcopies, phrases, pieces, quality
 from gapweave.session import settle_table
@@ -41,9 +40,7 @@ def decontaminate(spark, docs, sf_dir):
 def tokenize(spark, docs, sf_dir):
     """Adds ids, n_tokens, and whether decoding gives the text back."""
     model = Path(public_tokenizers.path(MODEL)).read_bytes()
-    coded = pieces.decode(pieces.encode(docs, model), model)
-    same = F.col("decoded").eqNullSafe(F.coalesce("text", F.lit("")))
-    return coded.select(*docs.columns, F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"), "ids")
+    return pieces.tokenized(docs, model)
 
 
 STAGES = [("quality", quality_rules), ("lines", line_dedup), ("near_copies", near_dedup), ("benchmark", decontaminate), ("pieces", tokenize)]
