@@ -13,8 +13,11 @@ whole. And of the others only strings are sorted whose minimizer (the least hash
 in them, equal for equal strings) occurs in two documents. Within a slice, equal sampled suffixes meet
 before they are sent, so a passage in a third of all documents reaches its range once per slice.
 
-Slices of text are kept in files of the shared folder, written under names of their attempt and listed in a
-table that Spark commits; what meets by join is a few numbers per slice. Ids are integers; a null
+Ranges are chosen from the suffixes themselves, some RANGE each. A range that one frequent lead fills is cut on by a hash
+of the 44 bytes.
+
+Slices of text and suffixes are kept in files of the shared folder, written under names of their attempt and listed in
+tables that Spark commits; what meets by join is a few numbers per slice. Ids are integers; a null
 id counts as the smallest. A null text is empty. Rows equal in id are the same document to each other.
 """
 
@@ -31,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapweave.llm.files import opened
+from gapweave.llm.files import Writer, block, opened
 from gapweave.llm.tokens import M1, column, mix, ranges, slices
 from gapweave.session import new_folder, settle_table
 
@@ -39,8 +42,8 @@ LENGTH = 50
 PERIOD, COVER = 7, (1, 2, 4)
 DEPTH = LENGTH - PERIOD + 1
 GRAM = 24
-#: Bytes of a slice; bytes of text per bucket of minimizers and of suffixes.
-SLICE_BYTES, BUCKET_BYTES, RANGE_BYTES = 4 << 20, 32 << 20, 16 << 20
+#: Bytes of a slice; bytes of text per bucket of minimizers; suffixes in a range, and every how many-th tells where ranges are cut.
+SLICE_BYTES, BUCKET_BYTES, RANGE, SAMPLED = 4 << 20, 16 << 20, 1 << 17, 64
 MISSING = -(1 << 63)
 
 
@@ -173,21 +176,31 @@ def _shared_minimizers(listed: DataFrame, buckets: int) -> DataFrame:
     return met.groupBy("slice").agg(F.collect_list("h").alias("shared"))
 
 
-def _suffixes(listed: DataFrame, cuts: np.ndarray, local: bool) -> DataFrame:
-    """Sampled suffixes by range; with ``local`` instead the repeats that a slice finds by itself. Both are
-    computed from the slices, as the suffixes are too many to be kept besides the shuffle.
+#: What is kept of a suffix: six bytes before it and fifty from it on, id, place and valid shifts.
+SUFFIX = 56 + 8 + 4 + 1
 
-    Rows (range, slice, n, entries): ``entries`` has for each suffix, by place, 56 bytes (6 before it, then
-    50), id, step from the place before, and valid shifts. Local finds (range -1) are places and shifts."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = zstandard.ZstdCompressor(level=3)
+def _blob(x: np.ndarray, own: np.ndarray, place: np.ndarray, bits: np.ndarray) -> bytes:
+    """Suffixes by place; places as steps from the one before."""
+    step = np.diff(place, prepend=0).astype(np.uint32)
+    return b"".join([np.ascontiguousarray(x).astype(">u8").tobytes(), own.astype(np.int64).tobytes(), step.tobytes(), bits.tobytes()])
+
+
+def _unblob(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    n = len(raw) // SUFFIX
+    return (np.frombuffer(raw, ">u8", 7 * n).reshape(n, 7), np.frombuffer(raw, np.int64, n, 56 * n), np.cumsum(np.frombuffer(raw, np.uint32, n, 64 * n), dtype=np.uint32),
+            np.frombuffer(raw, np.uint8, n, 68 * n))
+
 
-        def out(range_: int, slice_: int, *arrays: np.ndarray) -> pa.RecordBatch:
-            blob = coder.compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
-            return pa.RecordBatch.from_arrays([pa.array([range_], pa.int64()), pa.array([slice_], pa.int64()), pa.array([len(arrays[0])], pa.int64()), pa.array([blob], pa.binary())],
-                                              ["range", "slice", "n", "entries"])
+def _suffixes(listed: DataFrame) -> DataFrame:
+    """Sampled suffixes of each slice, in a file of the shared folder, and the repeats that a slice finds by itself.
 
+    Rows (slice, path, at, size, n, leads, mine): ``leads`` has the first eight bytes of every so many-th suffix in their order (less
+    the last bit), ``mine`` places and shifts of the slice's own finds."""
+    folder = new_folder(listed.sparkSession, "suffixes")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, file, made = zstandard.ZstdCompressor(level=3), Writer(folder, TaskContext.get().partitionId()), []
         for batch in batches:
             for row in batch.to_pylist():
                 if not row["shared"]:
@@ -223,60 +236,114 @@ def _suffixes(listed: DataFrame, cuts: np.ndarray, local: bool) -> DataFrame:
                 head = np.flatnonzero(np.r_[True, ~same])
                 least = np.repeat(own[head], np.diff(np.r_[head, len(s)]))
                 found = own > least
-                if local:
-                    if found.any():
-                        yield out(-1, row["slice"], s[found].astype(np.uint32), bits[found])
-                    continue
+                mine = s[found].astype(np.uint32).tobytes() + bits[found].tobytes()
                 keep = np.flatnonzero(~found)
                 keep = keep[np.argsort(s[keep])]
-                s, x, own, bits = s[keep], x[keep], own[keep], bits[keep]
-                # The first eight bytes of the suffix itself decide its range.
-                lead = (x[:, 0] << np.uint64(48)) | (x[:, 1] >> np.uint64(16))
-                range_ = np.searchsorted(cuts, lead, "right")
+                leads = np.sort(_lead(x[keep]))[SAMPLED // 2::SAMPLED] >> np.uint64(1)
+                made.append((row["slice"], *file.put(coder.compress(_blob(x[keep], own[keep], s[keep], bits[keep]))), len(keep), leads.astype(np.int64).tolist(), mine))
+        file.close()
+        for m in made:
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(m, kinds, strict=True)], names)
+
+    names = ["slice", "path", "at", "size", "n", "leads", "mine"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+    return settle_table(listed.mapInArrow(run, "slice long, path string, at long, size long, n long, leads array<long>, mine binary"), "suffixes")
+
+
+def _lead(x: np.ndarray) -> np.ndarray:
+    """The first eight bytes of the suffixes themselves."""
+    return (x[:, 0] << np.uint64(48)) | (x[:, 1] >> np.uint64(16))
+
+
+def _cuts(suffixes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Limits of ranges with about RANGE suffixes each, and into how many parts each limit's own lead is cut: one that
+    fills several ranges comes up as often as a limit."""
+    n = suffixes.agg(F.sum("n")).first()[0] or 0
+    count = -(-n // RANGE)
+    if count < 2:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    shares = [i / count for i in range(1, count)]
+    got = suffixes.select(F.explode("leads").alias("lead")).agg(F.percentile_approx("lead", shares, 20 * count)).first()[0] or []
+    cuts, times = np.unique(np.array(got, np.int64).astype(np.uint64) << np.uint64(1), return_counts=True)
+    return cuts, times.astype(np.int64)
+
+
+def _ranged(suffixes: DataFrame, cuts: np.ndarray, times: np.ndarray) -> DataFrame:
+    """(range, slice, entries): suffixes by range of their first eight bytes. The range that begins with a frequent lead is cut on by a hash of the
+    DEPTH bytes, which equal neighbours share."""
+    first = np.r_[0, 1 + np.cumsum(times) - times]  # number of the first part of each range
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, reader = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+        for batch in batches:
+            for row in batch.to_pylist():
+                x, own, place, bits = _unblob(reader.decompress(block(row["path"], row["at"], row["size"])))
+                x = x.astype(np.uint64)
+                to = np.searchsorted(cuts, _lead(x), "right")
+                range_ = first[to]
+                many = np.flatnonzero(np.r_[1, times][to] > 1)
+                if len(many):
+                    w, h = _depth_words(x[many]), np.zeros(len(many), np.uint64)
+                    for k in range(w.shape[1]):
+                        h = mix(h * M1 ^ w[:, k])
+                    range_[many] += (h % np.r_[1, times][to[many]].astype(np.uint64)).astype(np.int64)
                 order = np.argsort(range_, kind="stable")
-                cut = np.searchsorted(range_[order], np.arange(len(cuts) + 2))
-                for r in np.flatnonzero(np.diff(cut)):
-                    i = order[cut[r]:cut[r + 1]]
-                    yield out(int(r), row["slice"], x[i].astype(">u8"), own[i], np.diff(s[i], prepend=0).astype(np.uint32), bits[i])
+                at = np.flatnonzero(np.r_[True, np.diff(range_[order]) > 0])
+                for a, b in zip(at.tolist(), [*at[1:].tolist(), len(order)], strict=True):
+                    i = order[a:b]
+                    yield pa.RecordBatch.from_arrays([pa.array([int(range_[i[0]])], pa.int64()), pa.array([row["slice"]], pa.int64()),
+                                                      pa.array([coder.compress(_blob(x[i], own[i], place[i], bits[i]))], pa.binary())], ["range", "slice", "entries"])
+
+    return suffixes.select("slice", "path", "at", "size").mapInArrow(run, "range long, slice long, entries binary")
+
 
-    return listed.mapInArrow(run, "range long, slice long, n long, entries binary")
+def _depth_words(x: np.ndarray) -> np.ndarray:
+    """The DEPTH bytes from the suffix on, as six words: the last holds four bytes."""
+    w = np.stack([(x[:, k] << np.uint64(48)) | (x[:, k + 1] >> np.uint64(16)) for k in range(6)], axis=1)
+    w[:, 5] &= np.uint64(0xFFFFFFFF00000000)
+    return w
 
 
 def _names(rows: np.ndarray) -> np.ndarray:
-    """Rank of each row among the distinct rows, in order."""
-    order = np.lexsort(rows.T[::-1])
-    sorted_ = rows[order]
-    new = np.r_[False, (sorted_[1:] != sorted_[:-1]).any(axis=1)]
-    out = np.empty(len(rows), np.int64)
-    out[order] = np.cumsum(new)
-    return out
+    """Rank of each row among the distinct rows, in order: rows are sorted by one column after another, and ranks so far
+    go before the ranks of the next column."""
+
+    def ranked(v: np.ndarray) -> np.ndarray:
+        order = np.argsort(v)
+        out = np.empty(len(v), np.uint64)
+        out[order] = np.cumsum(np.r_[False, v[order[1:]] != v[order[:-1]]])
+        return out
+
+    name = ranked(rows[:, 0])
+    for k in range(1, rows.shape[1]):
+        name = ranked(name << np.uint64(32) | ranked(rows[:, k]))
+    return name
 
 
 def _sorted_range(table: pa.Table) -> pa.Table:
-    """One range: sort and name its sampled suffixes, then compare neighbours for every shift."""
-    coder = zstandard.ZstdDecompressor()
-    x, own, place, bits, n = [], [], [], [], table["n"].to_numpy()
-    for k, blob in zip(n, table["entries"], strict=True):
-        raw = coder.decompress(blob.as_buffer())
-        x.append(np.frombuffer(raw, ">u8", 7 * k).reshape(k, 7))
-        own.append(np.frombuffer(raw, np.int64, k, 56 * k))
-        place.append(np.cumsum(np.frombuffer(raw, np.uint32, k, 64 * k), dtype=np.uint32))
-        bits.append(np.frombuffer(raw, np.uint8, k, 68 * k))
-    x, own, place, bits = (np.concatenate(v) for v in (x, own, place, bits))
+    """One range: sort and name its sampled suffixes, then compare neighbours for every shift. A name that only one suffix has
+    has no equal neighbour for any shift."""
+    reader = zstandard.ZstdDecompressor()
+    parts = [_unblob(reader.decompress(blob.as_buffer())) for blob in table["entries"]]
+    of = np.repeat(np.arange(len(parts)), [len(p[1]) for p in parts])
+    x, own, place, bits = (np.concatenate(v) for v in zip(*parts, strict=True))
+    del parts
     x = x.astype(np.uint64)
-    of = np.repeat(np.arange(len(n)), n)
-    # Documents in order, so that a stable sort puts the smallest id of equals first.
-    order = np.argsort(own, kind="stable")
-    x, own, place, bits, of = x[order], own[order], place[order], bits[order], of[order]
-    # The DEPTH bytes from the suffix on, as six words: the last holds four bytes.
-    w = np.stack([(x[:, k] << np.uint64(48)) | (x[:, k + 1] >> np.uint64(16)) for k in range(6)], axis=1)
-    w[:, 5] &= np.uint64(0xFFFFFFFF00000000)
+    w = _depth_words(x)
     # Triples of words are named by sorting, then the suffixes by their triples' names.
     half = _names(np.concatenate([w[:, :3], w[:, 3:]]))
     name = _names(np.stack([half[:len(w)], half[len(w):]], axis=1))
+    del w, half
+    several = np.bincount(name.astype(np.int64)) > 1
+    keep = np.flatnonzero(several[name.astype(np.int64)])
+    # Documents in order, so that a stable sort puts the smallest id of equals first.
+    keep = keep[np.argsort(own[keep], kind="stable")]
+    before = x[keep, 0] >> np.uint64(16)                          # the six bytes before
+    after = x[keep, 6] & np.uint64(0xFFFFFFFFFFFF)                # the six from DEPTH on
+    name = (np.cumsum(several) - 1)[name[keep].astype(np.int64)].astype(np.uint64)
+    own, place, bits, of = own[keep], place[keep], bits[keep], of[keep]
+    packed = int(name.max(initial=0)) < 1 << 16
     found = np.zeros(len(name), np.uint8)
-    before = x[:, 0] >> np.uint64(16)                            # the six bytes before
-    after = x[:, 6] & np.uint64(0xFFFFFFFFFFFF)                  # the six from DEPTH on
     for d in range(PERIOD):
         valid = np.flatnonzero(bits >> np.uint8(d) & np.uint8(1))
         if not len(valid):
@@ -284,40 +351,22 @@ def _sorted_range(table: pa.Table) -> pa.Table:
         left = before[valid] & np.uint64((1 << 8 * d) - 1)       # its last d bytes
         right = after[valid] >> np.uint64(8 * d)                 # its first 6 - d bytes
         around = left << np.uint64(8 * (PERIOD - 1 - d)) | right
-        order = valid[np.lexsort((around, name[valid]))]
-        key = around[np.searchsorted(valid, order)]
-        new = np.r_[True, (key[1:] != key[:-1]) | (name[order[1:]] != name[order[:-1]])]
-        head = np.flatnonzero(new)
+        # Name and 48 bits around it, in one number where they fit.
+        key = name[valid] << np.uint64(48) | around if packed else _names(np.stack([name[valid], around], axis=1))
+        order = np.argsort(key, kind="stable")
+        head = np.flatnonzero(np.r_[True, key[order[1:]] != key[order[:-1]]])
+        order = valid[order]
         least = np.repeat(own[order[head]], np.diff(np.r_[head, len(order)]))
         found[order[own[order] > least]] |= np.uint8(1 << d)
     hit = np.flatnonzero(found)
     hit = hit[np.argsort(of[hit], kind="stable")]
-    cut = np.searchsorted(of[hit], np.arange(len(n) + 1))
+    cut = np.searchsorted(of[hit], np.arange(table.num_rows + 1))
     some = np.flatnonzero(np.diff(cut))
     ids = table["slice"].to_numpy()
     blobs = [place[hit[cut[i]:cut[i + 1]]].tobytes() + found[hit[cut[i]:cut[i + 1]]].tobytes() for i in some]
     return pa.table({"slice": pa.array(ids[some], pa.int64()), "finds": pa.array(blobs, pa.binary())})
 
 
-def _range_cuts(packed: DataFrame, ranges_: int) -> np.ndarray:
-    """Limits that cut the corpus's eight-byte strings into about equal ranges, from places spread
-    over all slices."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                data = _load(row["path"], row["at"], row["packed"])
-                at = np.linspace(0, max(len(data) - 1, 0), min(len(data), 512)).astype(np.int64)
-                lead = _words_at(data)[at].astype(np.uint64) >> np.uint64(1)
-                yield pa.RecordBatch.from_arrays([pa.array(lead.astype(np.int64))], ["lead"])
-
-    if ranges_ == 1:
-        return np.zeros(0, np.uint64)
-    shares = [i / ranges_ for i in range(1, ranges_)]
-    got = packed.select("path", "at", "packed").mapInArrow(run, "lead long").agg(F.percentile_approx("lead", shares, 10 * ranges_)).first()[0] or []
-    return np.unique(np.array(got, np.uint64) << np.uint64(1))
-
-
 def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", kept: bool = False) -> DataFrame:
     """key, n_bytes, n_removed, n_spans, kept_sha256 of every row; with ``kept``, also ``spans`` (from,
     to) of the removed runs."""
@@ -331,26 +380,22 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", kept: boo
     def dealt(df: DataFrame) -> DataFrame:
         return df.repartition(spread, "slice")
 
-    buckets, n_ranges = max(1, total // BUCKET_BYTES), max(1, total // RANGE_BYTES)
-    shared = settle_table(_shared_minimizers(dealt(refs), buckets), "minimizers")
-    cuts = _range_cuts(dealt(refs), n_ranges)
-    listed = dealt(refs.join(shared, "slice"))
-    finds = settle_table(_suffixes(listed, cuts, False).groupBy("range").applyInArrow(_sorted_range, "slice long, finds binary"), "finds")
-    local = _suffixes(listed, cuts, True).select("slice", "n", "entries")
+    shared = settle_table(_shared_minimizers(dealt(refs), max(1, total // BUCKET_BYTES)), "minimizers")
+    suffixes = _suffixes(dealt(refs.join(shared, "slice")))
+    finds = settle_table(_ranged(dealt(suffixes), *_cuts(suffixes)).groupBy("range").applyInArrow(_sorted_range, "slice long, finds binary"), "finds")
     by_slice = finds.groupBy("slice").agg(F.collect_list("finds").alias("finds"))
-    mine = local.groupBy("slice").agg(F.collect_list(F.struct("n", "entries")).alias("mine"))
+    mine = suffixes.select("slice", "mine")
     whole = dealt(refs.join(by_slice, "slice", "left").join(mine, "slice", "left"))
     extra = ", spans array<struct<`from`:bigint,`to`:bigint>>" if kept else ""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = zstandard.ZstdDecompressor()
         for batch in batches:
             for row in batch.to_pylist():
                 data = _load(row["path"], row["at"], row["packed"])
                 cover = np.zeros(len(data) + 1, np.int32)
-                lists_ = [(len(x) // 5, x) for x in row["finds"] or []] + [(m["n"], coder.decompress(m["entries"])) for m in row["mine"] or []]
-                for n, raw in lists_:
+                for raw in [*(row["finds"] or []), row["mine"] or b""]:
+                    n = len(raw) // 5
                     place, bits = np.frombuffer(raw, np.uint32, n).astype(np.int64), np.frombuffer(raw, np.uint8, n, 4 * n)
                     for d in range(PERIOD):
                         at = place[bits >> np.uint8(d) & np.uint8(1) > 0] - d
