@@ -15,6 +15,8 @@ SQL: dict[str, str] = {}
 SEED = 1001
 LINE = ["l_quantity", "l_discount", "l_tax"]
 LABEL = "l_extendedprice"
+#: What tells lines apart: an order may hold a part twice, and numbers of lines repeat.
+LINE_KEY = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice"]
 
 
 def query(name: str, sql: str | None = None):
@@ -33,7 +35,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def lines(spark: SparkSession, sf: str) -> DataFrame:
     """row_id, three features, the label."""
-    return with_row_id(table(spark, sf, "lineitem")).select(ROW_ID, *LINE, LABEL)
+    return with_row_id(table(spark, sf, "lineitem"), LINE_KEY).select(ROW_ID, *LINE, LABEL)
 
 
 def parts(spark: SparkSession, sf: str) -> DataFrame:
@@ -62,15 +64,11 @@ def wide(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- SQL fragments ---------------------------------------------------------
 
-_LINE_ALL = ("l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus "
-             "l_shipdate").split()
+def key_sql(columns: list[str]) -> str:
+    return " || ".join(f"coalesce(length({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in columns)
 
 
-def content_id_sql(columns: list[str]) -> str:
-    return "md5(" + " || ".join(f"coalesce(length({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in columns) + ")"
-
-
-LINE_SQL = f"""SELECT {content_id_sql(_LINE_ALL)} AS row_id, l_quantity, l_discount, l_tax, l_extendedprice FROM lineitem"""
+LINE_SQL = f"""SELECT {key_sql(LINE_KEY)} AS row_id, l_quantity, l_discount, l_tax, l_extendedprice FROM lineitem"""
 PART_SQL = "SELECT p_partkey AS row_id, p_size::DOUBLE AS p_size, p_retailprice, p_brand, p_type FROM part"
 ORDER_SQL = """SELECT o_orderkey AS row_id, c_acctbal, c_nationkey::DOUBLE AS c_nationkey, o_orderstatus, o_orderpriority,
   c_mktsegment, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey"""

@@ -91,7 +91,7 @@ def average_epochs(
                     v = np.concatenate([theta * told[i][-1], told[i]])
                     yield pd.DataFrame({"model": [i], "part": [part], "v": [v.tobytes()]})
 
-        out = _summed(data.mapInPandas(run, _SUMS), shards)
+        out = summed_arrays(data.mapInPandas(run, _SUMS), shards)
         shared.unpersist()
         models = list(models)
         for i in [i for i, a in enumerate(active) if a]:
@@ -119,8 +119,8 @@ def average_epochs(
 _SUMS = "model int, part long, v binary"
 
 
-def _summed(rows: DataFrame, count: int) -> dict[int, np.ndarray]:
-    """The sum of the arrays of each model. Tasks add up ``FAN`` parts each until few are left."""
+def summed_arrays(rows: DataFrame, count: int) -> dict[int, np.ndarray]:
+    """The sum of the arrays ``v`` of each model, from rows (model, part, v). Tasks add up ``FAN`` parts each until few are left."""
 
     def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, least = {}, {}

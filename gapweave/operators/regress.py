@@ -7,7 +7,7 @@ from abc import ABC, abstractmethod
 
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor
+from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +16,7 @@ from gapweave.functions.linear import ridge
 from gapweave.functions.mlp import fit_mlps
 from gapweave.functions.neighbours import nearest
 from gapweave.functions.numeric import linear, ratio
+from gapweave.functions.trees import MISSING, Growth, boost
 from gapweave.functions.training import adam, average_epochs, map_matrix, params, shard, with_adam
 from gapweave.model import ROW_ID
 from gapweave.session import settle_table
@@ -163,58 +164,44 @@ class SvrRegressor(Regressor):
         return map_matrix(df, [F.col(c) for c in self.features], [PREDICTION], lambda x: (lift(x) @ theta[:-1] + theta[-1])[:, None])
 
 
-class _TreeBase(Regressor):
-    """MLlib trees; gaps become the column mean beside an indicator column."""
+class BoostedRegressor(Regressor):
+    """Gradient boosting of the squared error on binned features. Missing values need no filling: each split learns their side."""
 
-    with_gaps = True
+    rounds, rate, growth = 10, 0.3, Growth(depth=6)
 
-    def _vectors(self, df: DataFrame) -> DataFrame:
-        cols = {f"__f_{i}": F.coalesce(F.col(c).cast("double"), F.lit(float(self.means[c] or 0.0))) for i, c in enumerate(self.features)}
-        if self.with_gaps:
-            cols |= {f"__g_{i}": F.col(c).isNull().cast("double") for i, c in enumerate(self.features)}
-        out = VectorAssembler(inputCols=list(cols), outputCol="__x").transform(df.withColumns(cols))
-        return out.drop(*cols)
+    def __init__(self, features, label, row_id=ROW_ID, rounds: int | None = None, rate: float | None = None, growth: Growth | None = None, bins: int = MISSING, seed: int = 0):
+        super().__init__(features, label, row_id)
+        self.rounds, self.rate, self.growth = rounds or self.rounds, rate or self.rate, growth or self.growth
+        self.bins, self.seed = bins, seed  # nothing here is drawn by chance
 
     def _fit(self, train):
-        self.means = column_means(train, self.features)
-        rows = self._vectors(train).select("__x", F.col(self.label).cast("double").alias("__y"))
-        self.model = self.make().setFeaturesCol("__x").setLabelCol("__y").setPredictionCol(PREDICTION).fit(rows)
+        self.model = boost(train, self.features, self.label, self.rounds, self.rate, self.growth, self.row_id, self.bins)
 
     def _predict(self, df):
-        return self.model.transform(self._vectors(df)).drop("__x")
-
-    def make(self):
-        raise NotImplementedError
-
-
-class XgbLike(_TreeBase):
-    """Boosted trees: depth 3, rate 0.3, 10 rounds."""
+        return self.model.predict(df, PREDICTION)
 
-    def __init__(self, features, label, row_id=ROW_ID, seed: int = 0):
-        super().__init__(features, label, row_id)
-        self.seed = seed
 
-    def make(self):
-        return GBTRegressor(maxDepth=3, stepSize=0.3, maxIter=10, seed=self.seed)
+class XgbLike(BoostedRegressor):
+    """By levels to depth 3, rate 0.3, 10 rounds, leaf weights with a penalty of 1."""
 
+    rounds, rate, growth = 10, 0.3, Growth(depth=3, penalty=1.0)
 
-class LgbLike(_TreeBase):
-    """Boosted trees near 31 leaves: depth 5, rate 0.1, 100 rounds, 20 rows per leaf."""
 
-    def __init__(self, features, label, row_id=ROW_ID, rounds: int = 100, seed: int = 0):
-        super().__init__(features, label, row_id)
-        self.rounds, self.seed = rounds, seed
+class LgbLike(BoostedRegressor):
+    """Best leaf first to 31 leaves of 20 rows or more, rate 0.1, 100 rounds."""
 
-    def make(self):
-        return GBTRegressor(maxDepth=5, stepSize=0.1, maxIter=self.rounds, minInstancesPerNode=20, seed=self.seed)
+    rounds, rate, growth = 100, 0.1, Growth(leaves=31, min_rows=20, penalty=0.0)
 
 
-class AdaBoostRegressor(_TreeBase):
-    """AdaBoost.R2 with depth-3 trees, linear loss and a weighted-median vote."""
+class AdaBoostRegressor(Regressor):
+    """AdaBoost.R2 with depth-3 trees, linear loss and a weighted-median vote. Missing values count as the column's mean."""
 
-    with_gaps = False
     keep_every = 10
 
+    def _vectors(self, df: DataFrame) -> DataFrame:
+        cols = {f"__f_{i}": F.coalesce(F.col(c).cast("double"), F.lit(float(self.means[c] or 0.0))) for i, c in enumerate(self.features)}
+        return VectorAssembler(inputCols=list(cols), outputCol="__x").transform(df.withColumns(cols)).drop(*cols)
+
     def __init__(self, features, label, row_id=ROW_ID, rounds: int = 100, seed: int = 0):
         super().__init__(features, label, row_id)
         self.rounds, self.seed = rounds, seed
