@@ -2,22 +2,23 @@
 
 A byte goes if a string of ``LENGTH`` bytes around it also starts in a document with a smaller id.
 Positions i with i mod 7 in {1, 2, 4} are the sample: for any two positions some shift below 7 takes both
-into the sample. Sampled suffixes are partitioned by range of their first bytes and, in each
-range, sorted by triples of characters that are themselves named by sorting triples of machine words;
+into the sample. Sampled suffixes are dealt into buckets so that equal strings of LENGTH bytes meet and, in each
+bucket, sorted by triples of characters that are themselves named by sorting triples of machine words;
 equal neighbours in that order share 44 bytes. The remaining suffixes are merged through the sample: the
 string that starts d bytes before a sampled suffix is its d bytes before, its name, and 6 - d bytes after. So
 comparing neighbours of the sample for every d compares all suffixes.
 
+For LENGTH bytes this finds what one order of all suffixes would: equal neighbours there share their first LENGTH bytes, hence the
+bucket, and names that cover 44 bytes need one level of recursion (triples of triples of words).
+
 Two lossless reductions come first. A copy of a whole text in a document with a smaller id goes as a
 whole. And of the others only strings are sorted whose minimizer (the least hash of the 24-byte strings
-in them, equal for equal strings) occurs in two documents. Within a slice, equal sampled suffixes meet
-before they are sent, so a passage in a third of all documents reaches its range once per slice.
-
-Ranges are chosen from the suffixes themselves, some RANGE each. A range that one frequent lead fills is cut on by a hash
-of the 44 bytes.
+in them, equal for equal strings) occurs in two documents. The minimizer also decides the bucket, so what is sent are stretches of text
+that share one, and suffixes are made of them where they are sorted. Within a slice, equal stretches meet
+before they are sent, so a passage in a third of all documents reaches its bucket once per slice.
 
-Slices of text and suffixes are kept in files of the shared folder, written under names of their attempt and listed in
-tables that Spark commits; what meets by join is a few numbers per slice. Ids are integers; a null
+Slices of text are kept in files of the shared folder, written under names of their attempt and listed in a
+table that Spark commits; what meets by join is a few numbers per slice. Ids are integers; a null
 id counts as the smallest. A null text is empty. Rows equal in id are the same document to each other.
 """
 
@@ -34,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapweave.llm.files import Writer, block, opened
+from gapweave.llm.files import opened
 from gapweave.llm.tokens import M1, column, mix, ranges, slices
 from gapweave.session import new_folder, settle_table
 
@@ -42,8 +43,8 @@ LENGTH = 50
 PERIOD, COVER = 7, (1, 2, 4)
 DEPTH = LENGTH - PERIOD + 1
 GRAM = 24
-#: Bytes of a slice; bytes of text per bucket of minimizers; suffixes in a range, and every how many-th tells where ranges are cut.
-SLICE_BYTES, BUCKET_BYTES, RANGE, SAMPLED = 4 << 20, 16 << 20, 1 << 17, 64
+#: Bytes of a slice; bytes of text per bucket of minimizers, and per bucket of suffixes that are sorted together.
+SLICE_BYTES, BUCKET_BYTES, SORTED_BYTES = 4 << 20, 16 << 20, 2 << 20
 MISSING = -(1 << 63)
 
 
@@ -176,31 +177,13 @@ def _shared_minimizers(listed: DataFrame, buckets: int) -> DataFrame:
     return met.groupBy("slice").agg(F.collect_list("h").alias("shared"))
 
 
-#: What is kept of a suffix: six bytes before it and fifty from it on, id, place and valid shifts.
-SUFFIX = 56 + 8 + 4 + 1
-
-
-def _blob(x: np.ndarray, own: np.ndarray, place: np.ndarray, bits: np.ndarray) -> bytes:
-    """Suffixes by place; places as steps from the one before."""
-    step = np.diff(place, prepend=0).astype(np.uint32)
-    return b"".join([np.ascontiguousarray(x).astype(">u8").tobytes(), own.astype(np.int64).tobytes(), step.tobytes(), bits.tobytes()])
-
-
-def _unblob(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    n = len(raw) // SUFFIX
-    return (np.frombuffer(raw, ">u8", 7 * n).reshape(n, 7), np.frombuffer(raw, np.int64, n, 56 * n), np.cumsum(np.frombuffer(raw, np.uint32, n, 64 * n), dtype=np.uint32),
-            np.frombuffer(raw, np.uint8, n, 68 * n))
-
-
-def _suffixes(listed: DataFrame) -> DataFrame:
-    """Sampled suffixes of each slice, in a file of the shared folder, and the repeats that a slice finds by itself.
-
-    Rows (slice, path, at, size, n, leads, mine): ``leads`` has the first eight bytes of every so many-th suffix in their order (less
-    the last bit), ``mine`` places and shifts of the slice's own finds."""
-    folder = new_folder(listed.sparkSession, "suffixes")
+def _segments(listed: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, slice, entries): stretches of starts that share one minimizer, by bucket of the minimizer. Entries hold, for
+    each stretch, id, place of its first start, number of starts, and the bytes from there to the end of the last string. A stretch whose very bytes are also
+    in a smaller document of the slice is found already: it goes without bytes, in a bucket of the slice's own (below 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, file, made = zstandard.ZstdCompressor(level=3), Writer(folder, TaskContext.get().partitionId()), []
+        coder = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for row in batch.to_pylist():
                 if not row["shared"]:
@@ -210,91 +193,67 @@ def _suffixes(listed: DataFrame) -> DataFrame:
                 end, begin = _starts(row, data)
                 shared = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in row["shared"]]))
                 h = _minimizers(data)
-                new = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-                at = np.minimum(np.searchsorted(shared, h[new]), len(shared) - 1)
-                start = np.repeat(shared[at] == h[new], np.diff(np.r_[new, n])) & (np.arange(n) + LENGTH <= end)
-                shifts = np.zeros(n + PERIOD, np.uint8)  # of place s: bit d if a start is d before it
-                for d in range(PERIOD):
-                    shifts[d:d + n] |= start.view(np.uint8) << np.uint8(d)
-                sampled = np.isin(np.arange(n) % PERIOD, COVER)
-                s = np.flatnonzero(sampled & (shifts[:n] > 0))
-                if not len(s):
+                new = np.r_[True, (h[1:] != h[:-1]) | (begin[1:] != begin[:-1])]
+                first = np.flatnonzero(new)
+                at = np.minimum(np.searchsorted(shared, h[first]), len(shared) - 1)
+                last = np.minimum(np.r_[first[1:], n], end[first] - LENGTH + 1)  # behind the last start
+                some = np.flatnonzero((shared[at] == h[first]) & (last > first))
+                first, count = first[some], (last - first)[some]
+                if not len(first):
                     continue
-                # Bytes from six before to fifty after; what no valid shift uses may be anything, as the
-                # shifts are part of the key.
-                front = np.r_[np.zeros(PERIOD - 1, np.uint8), data]
-                eight = _words_at(front)
-                x = np.stack([eight[s + 8 * k] for k in range(7)], axis=1).astype(np.uint64)
-                sizes, ids = np.array(row["sizes"], np.int64), np.array(row["ids"], np.int64)
-                own = np.repeat(ids, sizes)[s]
-                key = shifts[s].astype(np.uint64)
-                for k in range(7):
-                    key = mix(key * M1 ^ x[:, k])
-                order = np.lexsort((own, key))
-                s, x, own, bits = s[order], x[order], own[order], shifts[s[order]]
-                same = (x[1:] == x[:-1]).all(axis=1) & (bits[1:] == bits[:-1])
-                head = np.flatnonzero(np.r_[True, ~same])
-                least = np.repeat(own[head], np.diff(np.r_[head, len(s)]))
-                found = own > least
-                mine = s[found].astype(np.uint32).tobytes() + bits[found].tobytes()
+                own = np.repeat(np.array(row["ids"], np.int64), np.array(row["sizes"], np.int64))[first]
+                raw = data.tobytes()
+                texts = [raw[a:a + k] for a, k in zip(first.tolist(), (count + LENGTH - 1).tolist(), strict=True)]
+                least: dict[bytes, int] = {}
+                for t, i in zip(texts, own.tolist(), strict=True):
+                    if (was := least.get(t)) is None or i < was:
+                        least[t] = i
+                found = own > np.fromiter((least[t] for t in texts), np.int64, len(texts))
+                if found.any():
+                    yield _piece(coder, -1 - row["slice"], row["slice"], own[found], first[found], count[found], [])
                 keep = np.flatnonzero(~found)
-                keep = keep[np.argsort(s[keep])]
-                leads = np.sort(_lead(x[keep]))[SAMPLED // 2::SAMPLED] >> np.uint64(1)
-                made.append((row["slice"], *file.put(coder.compress(_blob(x[keep], own[keep], s[keep], bits[keep]))), len(keep), leads.astype(np.int64).tolist(), mine))
-        file.close()
-        for m in made:
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(m, kinds, strict=True)], names)
-
-    names = ["slice", "path", "at", "size", "n", "leads", "mine"]
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
-    return settle_table(listed.mapInArrow(run, "slice long, path string, at long, size long, n long, leads array<long>, mine binary"), "suffixes")
-
-
-def _lead(x: np.ndarray) -> np.ndarray:
-    """The first eight bytes of the suffixes themselves."""
-    return (x[:, 0] << np.uint64(48)) | (x[:, 1] >> np.uint64(16))
-
-
-def _cuts(suffixes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Limits of ranges with about RANGE suffixes each, and into how many parts each limit's own lead is cut: one that
-    fills several ranges comes up as often as a limit."""
-    n = suffixes.agg(F.sum("n")).first()[0] or 0
-    count = -(-n // RANGE)
-    if count < 2:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    shares = [i / count for i in range(1, count)]
-    got = suffixes.select(F.explode("leads").alias("lead")).agg(F.percentile_approx("lead", shares, 20 * count)).first()[0] or []
-    cuts, times = np.unique(np.array(got, np.int64).astype(np.uint64) << np.uint64(1), return_counts=True)
-    return cuts, times.astype(np.int64)
-
-
-def _ranged(suffixes: DataFrame, cuts: np.ndarray, times: np.ndarray) -> DataFrame:
-    """(range, slice, entries): suffixes by range of their first eight bytes. The range that begins with a frequent lead is cut on by a hash of the
-    DEPTH bytes, which equal neighbours share."""
-    first = np.r_[0, 1 + np.cumsum(times) - times]  # number of the first part of each range
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, reader = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
-        for batch in batches:
-            for row in batch.to_pylist():
-                x, own, place, bits = _unblob(reader.decompress(block(row["path"], row["at"], row["size"])))
-                x = x.astype(np.uint64)
-                to = np.searchsorted(cuts, _lead(x), "right")
-                range_ = first[to]
-                many = np.flatnonzero(np.r_[1, times][to] > 1)
-                if len(many):
-                    w, h = _depth_words(x[many]), np.zeros(len(many), np.uint64)
-                    for k in range(w.shape[1]):
-                        h = mix(h * M1 ^ w[:, k])
-                    range_[many] += (h % np.r_[1, times][to[many]].astype(np.uint64)).astype(np.int64)
-                order = np.argsort(range_, kind="stable")
-                at = np.flatnonzero(np.r_[True, np.diff(range_[order]) > 0])
-                for a, b in zip(at.tolist(), [*at[1:].tolist(), len(order)], strict=True):
-                    i = order[a:b]
-                    yield pa.RecordBatch.from_arrays([pa.array([int(range_[i[0]])], pa.int64()), pa.array([row["slice"]], pa.int64()),
-                                                      pa.array([coder.compress(_blob(x[i], own[i], place[i], bits[i]))], pa.binary())], ["range", "slice", "entries"])
-
-    return suffixes.select("slice", "path", "at", "size").mapInArrow(run, "range long, slice long, entries binary")
+                to = (mix(h[first[keep]]) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(to, kind="stable")
+                cut = np.flatnonzero(np.r_[True, np.diff(to[order]) > 0])
+                for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(order)], strict=True):
+                    i = keep[order[a:b]]
+                    yield _piece(coder, int(to[order[a]]), row["slice"], own[i], first[i], count[i], [texts[k] for k in i.tolist()])
+
+    return listed.mapInArrow(run, "bucket long, slice long, entries binary")
+
+
+def _piece(coder, bucket: int, slice_: int, own: np.ndarray, first: np.ndarray, count: np.ndarray, texts: list[bytes]) -> pa.RecordBatch:
+    blob = b"".join([np.int64(len(own)).tobytes(), own.tobytes(), first.astype(np.uint32).tobytes(), count.astype(np.uint32).tobytes(), *texts])
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([slice_], pa.int64()), pa.array([coder.compress(blob)], pa.binary())], ["bucket", "slice", "entries"])
+
+
+def _unpiece(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    return np.frombuffer(raw, np.int64, n, 8), np.frombuffer(raw, np.uint32, n, 8 + 8 * n).astype(np.int64), np.frombuffer(raw, np.uint32, n, 8 + 12 * n).astype(np.int64), raw[8 + 16 * n:]
+
+
+def _sampled(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sampled suffixes of all stretches: the 56 bytes from six before it on as words, id, place, valid shifts, and part. A shift d is valid if the
+    string that begins d bytes before is among the stretch's; bytes that no valid shift uses may be anything."""
+    pad = PERIOD - 1
+    own, first, count = (np.concatenate([p[k] for p in parts]) for k in range(3))
+    size = count + LENGTH - 1
+    begin = np.cumsum(size + 2 * pad) - (size + 2 * pad) + pad
+    data = np.zeros(int((size + 2 * pad).sum()) + 64, np.uint8)
+    data[ranges(begin, size)] = np.frombuffer(b"".join(p[3] for p in parts), np.uint8)
+    # Of each stretch, all places from the first start to six behind the last one.
+    reach = count + pad
+    which, off = np.repeat(np.arange(len(own)), reach), ranges(np.zeros(len(own), np.int64), reach)
+    take = np.isin((first[which] + off) % PERIOD, COVER)
+    which, off = which[take], off[take]
+    bits = np.zeros(len(which), np.uint8)
+    for d in range(PERIOD):
+        bits |= ((off >= d) & (off - d < count[which])).astype(np.uint8) << np.uint8(d)
+    eight = _words_at(data)
+    at = begin[which] + off - pad
+    x = np.stack([eight[at + 8 * k] for k in range(7)], axis=1).astype(np.uint64)
+    part = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
+    return x, own[which], (first[which] + off).astype(np.uint32), bits, part[which]
 
 
 def _depth_words(x: np.ndarray) -> np.ndarray:
@@ -320,15 +279,22 @@ def _names(rows: np.ndarray) -> np.ndarray:
     return name
 
 
-def _sorted_range(table: pa.Table) -> pa.Table:
-    """One range: sort and name its sampled suffixes, then compare neighbours for every shift. A name that only one suffix has
+def _bucket_task(table: pa.Table) -> pa.Table:
+    if table["bucket"][0].as_py() >= 0:
+        return _sorted_bucket(table)
+    blobs = []
+    for entries in table["entries"]:
+        _, first, count, _ = _unpiece(zstandard.ZstdDecompressor().decompress(entries.as_buffer()))
+        place = ranges(first, count).astype(np.uint32)
+        blobs.append(place.tobytes() + np.ones(len(place), np.uint8).tobytes())
+    return pa.table({"slice": table["slice"], "finds": pa.array(blobs, pa.binary())})
+
+
+def _sorted_bucket(table: pa.Table) -> pa.Table:
+    """One bucket: sort and name its sampled suffixes, then compare neighbours for every shift. A name that only one suffix has
     has no equal neighbour for any shift."""
     reader = zstandard.ZstdDecompressor()
-    parts = [_unblob(reader.decompress(blob.as_buffer())) for blob in table["entries"]]
-    of = np.repeat(np.arange(len(parts)), [len(p[1]) for p in parts])
-    x, own, place, bits = (np.concatenate(v) for v in zip(*parts, strict=True))
-    del parts
-    x = x.astype(np.uint64)
+    x, own, place, bits, of = _sampled([_unpiece(reader.decompress(blob.as_buffer())) for blob in table["entries"]])
     w = _depth_words(x)
     # Triples of words are named by sorting, then the suffixes by their triples' names.
     half = _names(np.concatenate([w[:, :3], w[:, 3:]]))
@@ -381,11 +347,10 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", kept: boo
         return df.repartition(spread, "slice")
 
     shared = settle_table(_shared_minimizers(dealt(refs), max(1, total // BUCKET_BYTES)), "minimizers")
-    suffixes = _suffixes(dealt(refs.join(shared, "slice")))
-    finds = settle_table(_ranged(dealt(suffixes), *_cuts(suffixes)).groupBy("range").applyInArrow(_sorted_range, "slice long, finds binary"), "finds")
+    sent = _segments(dealt(refs.join(shared, "slice")), max(1, total // SORTED_BYTES))
+    finds = settle_table(sent.groupBy("bucket").applyInArrow(_bucket_task, "slice long, finds binary"), "finds")
     by_slice = finds.groupBy("slice").agg(F.collect_list("finds").alias("finds"))
-    mine = suffixes.select("slice", "mine")
-    whole = dealt(refs.join(by_slice, "slice", "left").join(mine, "slice", "left"))
+    whole = dealt(refs.join(by_slice, "slice", "left"))
     extra = ", spans array<struct<`from`:bigint,`to`:bigint>>" if kept else ""
     kind = docs.schema[key].dataType.simpleString()
 
@@ -394,7 +359,7 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", kept: boo
             for row in batch.to_pylist():
                 data = _load(row["path"], row["at"], row["packed"])
                 cover = np.zeros(len(data) + 1, np.int32)
-                for raw in [*(row["finds"] or []), row["mine"] or b""]:
+                for raw in row["finds"] or []:
                     n = len(raw) // 5
                     place, bits = np.frombuffer(raw, np.uint32, n).astype(np.int64), np.frombuffer(raw, np.uint8, n, 4 * n)
                     for d in range(PERIOD):
