@@ -44,7 +44,7 @@ PERIOD, COVER = 7, (1, 2, 4)
 DEPTH = LENGTH - PERIOD + 1
 GRAM = 24
 #: Bytes of a slice; bytes of text per bucket of minimizers, and per bucket of suffixes that are sorted together.
-SLICE_BYTES, BUCKET_BYTES, SORTED_BYTES = 4 << 20, 16 << 20, 2 << 20
+SLICE_BYTES, BUCKET_BYTES, SORTED_BYTES = 2 << 20, 8 << 20, 1 << 20
 MISSING = -(1 << 63)
 
 
