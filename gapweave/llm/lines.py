@@ -2,8 +2,9 @@
 
 Every run of three lines is a window. Of equal windows anywhere in the corpus the first by
 (doc_id, place) stays; the lines of the others go, overlapping windows merged. Windows are compared
-by 128 bits of hash. Lines are split on ``\\n``; a text of fewer than three lines has no window and
-stays whole. A null text has no lines. Rows equal in doc_id and text are one document: they come out
+by 128 bits of hash. Lines are split on ``\\n``; a text of fewer than three lines is one window of its own
+length, unless it is empty. A null text has no lines. A window that very many documents hold is not brought together: its first place is
+sent to where it occurs. Rows equal in doc_id and text are one document: they come out
 alike. Null ids come first.
 """
 
@@ -12,6 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gapweave.llm.skew import join_counted
+from gapweave.session import settle_table
+
 WINDOW = 3
 
 
@@ -25,18 +29,19 @@ def _window_keys(a: Column, b: Column) -> Column:
     def one(h: Column, i: Column) -> Column:
         return F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)])
 
-    return F.transform(F.sequence(F.lit(0), F.size(a) - WINDOW), lambda i: F.struct(one(a, i).alias("k1"), one(b, i).alias("k2"), i.alias("at")))
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.size(a) - WINDOW, F.lit(0))), lambda i: F.struct(one(a, i).alias("k1"), one(b, i).alias("k2"), i.alias("at")))
 
 
 def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, mark, starts): for each document with repeated windows, where they start, ascending.
     ``mark`` is a hash of the text."""
-    lines = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("mark"), _lines(text).alias("lines")).where(F.size("lines") >= WINDOW)
+    lines = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("mark"), _lines(text).alias("lines")).where((F.size("lines") >= WINDOW) | (F.get("lines", F.lit(0)) != "") | (F.size("lines") == 2))
     hashed = lines.select("key", "mark", F.transform("lines", lambda x: F.xxhash64(x)).alias("a"), F.transform("lines", lambda x: F.xxhash64(x, F.lit(1))).alias("b"))
-    windows = hashed.select("key", "mark", F.inline(_window_keys(F.col("a"), F.col("b"))))
+    windows = hashed.select("key", "mark", F.inline(_window_keys(F.col("a"), F.col("b")))).select("key", "mark", "at", F.struct("k1", "k2").alias("k"))
     place = F.struct("key", "mark", "at")
-    firsts = windows.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = windows.join(firsts, ["k1", "k2"]).where(~place.eqNullSafe(F.col("first")))
+    firsts = settle_table(windows.groupBy("k").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"), "windows")
+    total = firsts.agg(F.sum("n")).first()[0] or 0
+    later = join_counted(windows, firsts, "k", "n", total).where(F.col("first").isNotNull() & ~place.eqNullSafe(F.col("first")))
     return later.groupBy("key", "mark").agg(F.sort_array(F.collect_set("at")).alias("starts"))
 
 

@@ -26,20 +26,26 @@ def tally(rows):
 # --- line windows ---------------------------------------------------------
 
 
+def line_windows(p):
+    """Places and lines of all windows; a shorter text is one of its own length, an empty one has none."""
+    if len(p) < 3:
+        return [(0, tuple(p))] if p not in ([], [""]) else []
+    return [(k, tuple(p[k:k + 3])) for k in range(len(p) - 2)]
+
+
 def brute_lines(rows):
     first, docs = {}, sorted({(i is not None, i or 0, t) for i, t in rows if t is not None}, key=lambda x: x[:2])
     for has, i, t in docs:
-        p = t.split("\n")
-        for k in range(len(p) - 2):
-            first.setdefault(tuple(p[k:k + 3]), []).append((has, i, t, k))
+        for k, w in line_windows(t.split("\n")):
+            first.setdefault(w, []).append((has, i, t, k))
     out = []
     for i, t in rows:
         p = t.split("\n") if t is not None else []
         gone = set()
-        for k in range(len(p) - 2):
-            least = min(first[tuple(p[k:k + 3])], key=lambda x: (x[:2], x[3]))
+        for k, w in line_windows(p):
+            least = min(first[w], key=lambda x: (x[:2], x[3]))
             if least != (i is not None, i or 0, t, k):
-                gone |= {k, k + 1, k + 2}
+                gone |= set(range(k, k + len(w)))
         spans = sum(k - 1 not in gone for k in gone)
         kept = "\n".join(x for k, x in enumerate(p) if k not in gone)
         out.append((i, len(p), len(gone), spans, hashlib.sha256(kept.encode()).hexdigest()))
@@ -166,9 +172,7 @@ def test_estimates_are_near_the_similarity():
         assert abs(nearcopies.estimate(packed[:1], packed[1:])[0] - common / len(set(pool.tolist()))) < 0.16
 
 
-@pytest.mark.parametrize("one_task", [1 << 19, 0])
-def test_components_of_a_long_path(spark, monkeypatch, one_task):
-    monkeypatch.setattr(nearcopies, "ONE_TASK", one_task)
+def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(bytes([i // 256, i % 256]), bytes([(i + 1) // 256, (i + 1) % 256])) for i in range(300)], "a binary, b binary")
     got = nearcopies.components(links).collect()
     assert len(got) == 301 and {bytes(r.comp) for r in got} == {b"\0\0"}
