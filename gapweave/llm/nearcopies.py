@@ -6,7 +6,7 @@ whose bit counts estimate the similarity; the estimate is corrected for chance c
 
 Buckets are cut into blocks of bounded size. In a block, pairs that the signatures allow are taken from
 the most similar on; a pair whose ends are joined already is passed over, any other is checked on its
-full sets and, if confirmed, emitted. So a block of n nodes emits n - 1 links at most, and a group of
+full sets and, if confirmed, joins them. So a block of n nodes emits n - 1 links at most, and a group of
 copies costs about as many checks as it has members. A first wave does so with a few bands and the
 blocks themselves; the second takes all bands where buckets still hold several components, deals the nodes
 outside a bucket's largest component into blocks as well, and lets each of these meet every other block once. Full sets are sent only for the
@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gapweave.llm.graph import components
 from gapweave.llm.tokens import SPACE, Slice, column, lists, mix, shingle_hash, slices, words
 from gapweave.session import settle, settle_table
 
@@ -34,8 +35,6 @@ BANDS, ROWS = 28, 4
 MINIMA, BITS, MARGIN = 256, 4, 0.125
 #: Nodes in a block, on average (two blocks may meet); pairs estimated together.
 BLOCK, PAIRS = 256, 1 << 19
-#: Links up to which one task finds all components (some 50 MB); beyond, tables of stars do.
-ONE_TASK = 1 << 19
 #: Bands of the first wave.
 FIRST_BANDS = 4
 
@@ -152,27 +151,35 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(together) - shared)
 
 
-def _links(left: list[int], right: list[int], node: list[bytes], comp: list[bytes], shingles: list[bytes], percent: int, parent: dict[bytes, bytes]) -> list[tuple[bytes, bytes]]:
-    """Confirmed pairs, best first, that join what is not joined yet by ``parent``."""
-    sets: dict[int, np.ndarray] = {}
+def _root(parent: dict[bytes, bytes], x: bytes) -> bytes:
+    while (up := parent.get(x, x)) != x:
+        parent[x] = x = parent.get(up, up)
+    return x
+
 
-    def root(x: bytes) -> bytes:
-        while (up := parent.get(x, x)) != x:
-            parent[x] = x = parent.get(up, up)
-        return x
+def _links(left: list[int], right: list[int], comp: list[bytes], shingles: list[bytes], percent: int, parent: dict[bytes, bytes]) -> None:
+    """Join in ``parent`` the components of pairs, best first, that are not joined yet and whose sets confirm the link."""
+    sets: dict[int, np.ndarray] = {}
 
     def full(i: int) -> np.ndarray:
         if i not in sets:
             sets[i] = _wide(shingles[i])
         return sets[i]
 
-    out = []
     for i, j in zip(left, right, strict=True):
-        a, b = root(comp[i]), root(comp[j])
+        a, b = _root(parent, comp[i]), _root(parent, comp[j])
         if a != b and similar(full(i), full(j), percent):
             parent[a] = b
-            out.append((node[i], node[j]))
-    return out
+            parent.setdefault(b, b)
+
+
+def _stars(parent: dict[bytes, bytes]) -> list[tuple[bytes, bytes]]:
+    """Each joined component with the least of its group."""
+    least: dict[bytes, bytes] = {}
+    for x in list(parent):
+        r = _root(parent, x)
+        least[r] = min(x, least.get(r, x))
+    return [(x, c) for x in parent if (c := least[_root(parent, x)]) != x]
 
 
 def _block_task(least: float, percent: int | None):
@@ -219,9 +226,11 @@ def _block_task(least: float, percent: int | None):
                 keep[left] = keep[right] = True
             yield from table.filter(pa.array(keep)).combine_chunks().to_batches()
             return
-        node, shingles = table["node"].to_pylist(), table["shingles"].to_pylist()
+        shingles = table["shingles"].to_pylist()
         parent: dict[bytes, bytes] = {}
-        found = [x for left, right in pairs for x in _links(left.tolist(), right.tolist(), node, comps, shingles, percent, parent)]
+        for left, right in pairs:
+            _links(left.tolist(), right.tolist(), comps, shingles, percent, parent)
+        found = _stars(parent)
         if found:
             a, b = zip(*found, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
@@ -287,46 +296,6 @@ def wave(members: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, ba
     return dealt(paired.join(sets, "node")).mapInArrow(_block_task(least, percent), "a binary, b binary").distinct()
 
 
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, comp) by union-find over all links of a task; the least node leads."""
-    parent: dict[bytes, bytes] = {}
-
-    def root(x: bytes) -> bytes:
-        while (up := parent.setdefault(x, x)) != x:
-            parent[x] = x = parent.get(up, up)
-        return x
-
-    for batch in batches:
-        for u, v in zip(column(batch, "u").to_pylist(), column(batch, "v").to_pylist(), strict=True):
-            u, v = root(u), root(v)
-            parent[max(u, v)] = min(u, v)
-    nodes = list(parent)
-    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array([root(x) for x in nodes], pa.binary())], ["node", "comp"])
-
-
-def components(links: DataFrame) -> DataFrame:
-    """(node, comp): the smallest node reachable, for every node of a link. Many links go by alternating
-    stars: each round ties the neighbours of a node to the least of them, until nothing changes."""
-    edges = settle(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    if edges.count() <= ONE_TASK:
-        return edges.coalesce(1).mapInArrow(_joined, "node binary, comp binary")
-    mark = None
-    while True:
-        both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        tied = large.join(low, "u")
-        edges = settle(tied.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(tied.select("u", F.col("m").alias("v")))
-                       .where("u <> v").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if now == mark:
-            break
-        mark = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(
-        edges.select(F.col("v").alias("node"), F.col("v").alias("comp"))).distinct()
-
-
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
     """key, n_shingles, component_id (least key reachable over links), kept, of every row of ``docs``.
 
