@@ -48,9 +48,10 @@ class Growth:
 
 @dataclass
 class Bins:
-    """Upper limits of each feature's bins but the last: a value in bin b is at most cuts[b]."""
+    """Upper limits of each feature's bins but the last: a value in bin b is at most cuts[b]. ``tops`` are the largest values."""
 
     cuts: list[np.ndarray]
+    tops: list[float | None]
 
     @classmethod
     def fit(cls, df: DataFrame, features: list[str], bins: int = MISSING) -> Bins:
@@ -60,7 +61,11 @@ class Bins:
         row = df.agg(*[F.percentile_approx(F.nanvl(F.col(c).cast("double"), F.lit(None)), shares, 20000).alias(f"q{i}") for i, c in enumerate(features)],
                      *[F.max(F.nanvl(F.col(c).cast("double"), F.lit(None))).alias(f"m{i}") for i, c in enumerate(features)]).first()
         cuts = [np.unique(np.array(row[f"q{i}"] or [], float)) for i in range(len(features))]
-        return cls([c[c < row[f"m{i}"]] if len(c) else c for i, c in enumerate(cuts)])
+        return cls([c[c < row[f"m{i}"]] if len(c) else c for i, c in enumerate(cuts)], [row[f"m{i}"] for i in range(len(features))])
+
+    def limit(self, feature: int, cut: int) -> float | None:
+        """The largest value that goes left; behind the last limit, all values do."""
+        return float(self.cuts[feature][cut]) if cut < len(self.cuts[feature]) else self.tops[feature]
 
     def codes(self, x: np.ndarray) -> np.ndarray:
         out = np.empty(x.shape, np.uint8)
@@ -169,7 +174,7 @@ def _unblock(b: pa.RecordBatch, width: int) -> Iterator[tuple[np.ndarray, np.nda
         yield np.frombuffer(codes, np.uint8).reshape(-1, width) if width else np.zeros((len(y) // 8, 0), np.uint8), np.frombuffer(y), np.frombuffer(made)
 
 
-def histograms(blocks: DataFrame, width: int, trees: list[Tree], tree: Tree, nodes: list[int], base: float) -> np.ndarray:
+def histograms(blocks: DataFrame, parts: int, width: int, trees: list[Tree], tree: Tree, nodes: list[int], base: float) -> np.ndarray:
     """(nodes, features, WIDTH, 3): gradients of the squared error, weights and rows of the wanted nodes of ``tree``, ``trees`` being those
     that rows do not carry yet."""
 
@@ -188,7 +193,7 @@ def histograms(blocks: DataFrame, width: int, trees: list[Tree], tree: Tree, nod
                     total[:, f, :, 1] += np.bincount(key, minlength=len(nodes) * WIDTH).reshape(-1, WIDTH)
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["model", "part", "v"])
 
-    out = summed_arrays(blocks.mapInArrow(run, "model int, part long, v binary"), blocks.rdd.getNumPartitions())
+    out = summed_arrays(blocks.mapInArrow(run, "model int, part long, v binary"), parts)
     sums = out[0].reshape(len(nodes), width, WIDTH, 2) if out else np.zeros((len(nodes), width, WIDTH, 2))
     return np.concatenate([sums, sums[..., 1:]], axis=-1)
 
@@ -211,24 +216,21 @@ def grow(summed: Callable[[Tree, list[int]], np.ndarray], width: int, growth: Gr
         return split[node] is not None and (growth.depth is None or depth[node] < growth.depth)
 
     while True:
-        # Best first among what is known; a leaf whose children are not known yet holds the choice up.
+        # Best first among what is known. A leaf whose children are not known yet holds the choice up; those behind it are
+        # looked at ahead, which costs sums, not scans.
         chosen, open_, held = 1, [(-split[0].gain, 0)] if may_split(0) else [], []
         while open_ and (growth.leaves is None or chosen < growth.leaves):
             _, node = heapq.heappop(open_)
+            chosen += 1
             if probe.left[node] < 0:
                 held.append(node)
-                if growth.leaves is None:
-                    continue
-                held += [n for _, n in open_ if probe.left[n] < 0]
-                break
-            chosen += 1
+                continue
             for child in (probe.left[node], probe.right[node]):
                 if may_split(child):
                     heapq.heappush(open_, (-split[child].gain, child))
         if not held:
             return _kept(probe, split, depth, growth), scans
-        room = per_scan if growth.leaves is None else min(per_scan, growth.leaves - chosen)
-        held = sorted(held, key=lambda n: (-split[n].gain, n))[:room]
+        held = sorted(held, key=lambda n: (-split[n].gain, n))[:per_scan]
         small = []
         for node in held:
             s = split[node]
@@ -287,15 +289,21 @@ def boost(df: DataFrame, features: list[str], label: str, rounds: int, rate: flo
     y = F.col(label).cast("double")
     base = float(df.where(~F.isnan(y)).agg(F.avg(y)).first()[0] or 0.0)
     trees, fresh, scans = [], [], 0
+    blocks = blocks.persist()  # many short scans; the table behind it is there for a lost executor
+    parts = blocks.rdd.getNumPartitions()
     for i in range(rounds):
-        tree, took = grow(lambda t, nodes: histograms(blocks, width, fresh, t, nodes, base), width, growth, rate)  # noqa: B023
+        tree, took = grow(lambda t, nodes: histograms(blocks, parts, width, fresh, t, nodes, base), width, growth, rate)  # noqa: B023
         scans += took
         trees.append(tree)
         fresh.append(tree)
         if tree.n_leaves == 1:
             break  # nothing is left to split, now or later
         if len(fresh) == KEEP_EVERY and i + 1 < rounds:
-            blocks, fresh = settle_table(blocks.mapInArrow(_carrier(fresh, width), "codes binary, y binary, made binary"), "boost"), []
+            carried = settle_table(blocks.mapInArrow(_carrier(fresh, width), "codes binary, y binary, made binary"), "boost")
+            blocks.unpersist()
+            blocks, fresh = carried.persist(), []
+            parts = blocks.rdd.getNumPartitions()
+    blocks.unpersist()
     return Boosted(features, cuts, base, trees, scans)
 
 
