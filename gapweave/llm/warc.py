@@ -5,8 +5,12 @@ frame holding the dictionary (magic 0x184D2A5D, the dictionary itself a Zstandar
 one Zstandard frame per record, so that a reader can seek to any record. ``read`` gives the records back.
 
 Of pages with equal payloads of at least ``least`` bytes, the one with the largest id is stored as a
-response and the others as revisits that name it. A null payload counts as empty, a null url as an
-empty target.
+response and the others as revisits that name it. Null ids are the smallest; of equal ids the largest target counts, and of rows
+that are equal in both one is the response. A null payload counts as empty, a null url as an
+empty target. No pages give no archive.
+
+The dictionary is made before the archives, from records picked by hash over all pages, long ones from anywhere within; it stands in front
+of every file.
 
 Files are written through the file system of the folder's URI, each under a name of its attempt; the
 manifest, a table that Spark commits, names the files that count. Leftovers of lost tasks are never read.
@@ -28,13 +32,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gapweave.llm.files import opened
+from gapweave.llm.skew import join_counted
 from gapweave.llm.tokens import column
 from gapweave.session import settle_table
 
 SKIPPABLE = 0x184D2A5D
-#: Bytes of an archive after which the next begins; of payload that a dictionary is trained on, per
-#: task, and its size; records taken for it are spread over the whole of the first batch.
-FILE_BYTES, TRAIN_BYTES, DICTIONARY_BYTES = 64 << 20, 4 << 20, 64 << 10
+#: Bytes of an archive after which the next begins; of records that the dictionary is trained on, some, and at most of
+#: one record; and its size.
+FILE_BYTES, TRAIN_BYTES, PIECE_BYTES, DICTIONARY_BYTES = 64 << 20, 2 << 20, 1 << 14, 64 << 10
 LEVEL = 5
 DATE = "2024-01-01T00:00:00Z"
 KINDS = ("response", "revisit")
@@ -46,14 +51,34 @@ def payload_digest(payload: bytes) -> str:
 
 
 def plan(pages: DataFrame, page_id: str = "page_id", payload: str = "html", url: str = "url", least: int = 0) -> DataFrame:
-    """id, target, payload, refers_to (null for a response). Only ids and digests meet by digest: the
-    pages themselves are not grouped. Rows equal in id and payload are the same page."""
-    rows = pages.select(F.col(page_id).alias("id"), F.coalesce(F.col(url), F.lit("")).alias("target"), F.coalesce(F.col(payload), F.lit("")).alias("payload"))
-    digest = rows.withColumn("digest", F.unhex(F.sha1("payload")))
-    repeated = digest.where(F.octet_length("payload") >= least).groupBy("digest").agg(
-        F.max("id").alias("last"), F.min("id").alias("first")).where("first <> last")
-    last = digest.select("id", "digest").join(repeated.select("digest", "last"), "digest").where("id <> last").select("id", "digest", F.col("last").alias("refers_to")).distinct()
-    return digest.join(last, ["id", "digest"], "left").select("id", "target", "payload", "refers_to")
+    """id, target, payload, kind, refers_to of every page. Only ids and digests meet by digest, and those of very frequent payloads stay where
+    they are; pages that are equal in all of it travel once, with their number."""
+    own = F.coalesce(F.col(payload), F.lit(""))
+    page = F.struct(F.col(page_id).alias("id"), F.coalesce(F.col(url), F.lit("")).alias("target"), F.unhex(F.sha1(own)).alias("digest"))
+    rows = pages.select(page.alias("k"), own.alias("payload"))
+    ids = settle_table(rows.groupBy("k").agg(F.count("*").alias("copies"), F.max(F.octet_length("payload")).alias("size")), "page-ids")
+    ids = ids.select("k", F.col("k.digest").alias("digest"), "copies", "size")
+    repeated = ids.where(F.col("size") >= least).groupBy("digest").agg(
+        F.sum("copies").alias("n"), F.count("*").alias("rows"), F.max(F.struct(F.col("k.id").alias("id"), F.col("k.target").alias("target"))).alias("last")).where("n > 1").drop("n")
+    met = join_counted(ids.select("k", "digest"), settle_table(repeated, "payloads"), "digest", "rows", ids.count()).where("last IS NOT NULL").select("k", "last")
+    whole = rows.groupBy("k").agg(F.first("payload").alias("payload"), F.count("*").alias("copies")).join(met, "k", "left")
+    each = whole.select("k", "payload", "last", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
+    again = F.col("last").isNotNull() & ~((F.struct(F.col("k.id").alias("id"), F.col("k.target").alias("target")) == F.col("last")) & (F.col("copy") == 1))
+    return each.select("k.id", "k.target", "payload", F.when(again, KINDS[1]).otherwise(KINDS[0]).alias("kind"), F.when(again, F.col("last.id")).alias("refers_to"))
+
+
+def dictionary(pages: DataFrame, payload: str = "html") -> bytes:
+    """A dictionary from about TRAIN_BYTES of records, picked by hash over all pages; of a long one a piece from anywhere within."""
+    own = F.encode(F.coalesce(F.col(payload), F.lit("")), "utf-8")
+    taken = F.least(F.octet_length(own), F.lit(PIECE_BYTES))
+    total = pages.agg(F.sum(taken)).first()[0] or 0
+    if not total:
+        return _dictionary([])
+    h, grain = F.xxhash64(own, *[F.col(c).cast("string") for c in ("page_id", "url") if c in pages.columns]), 1 << 30
+    begin = F.pmod(F.shiftright(h, 31), F.greatest(F.octet_length(own) - PIECE_BYTES, F.lit(0)) + 1).cast("int") + 1
+    picked = pages.where(F.pmod(h, F.lit(grain)) < int(min(1.0, TRAIN_BYTES / total) * grain))
+    pieces = picked.select(h.alias("h"), F.substring(own, begin, F.lit(PIECE_BYTES)).alias("x")).collect()
+    return _dictionary([_record("response", f"<urn:page:{i}>", "http://", payload_digest(r["x"]), bytes(r["x"]), str(i), None) for i, r in enumerate(sorted(pieces, key=lambda r: (r["h"], bytes(r["x"]))))])
 
 
 def _record(kind: str, record_id: str, target: str, digest: str, payload: bytes, page: str, refers: str | None) -> bytes:
@@ -63,48 +88,38 @@ def _record(kind: str, record_id: str, target: str, digest: str, payload: bytes,
         body += payload
     head = [("WARC-Type", kind), ("WARC-Record-ID", record_id), ("WARC-Date", DATE), ("WARC-Target-URI", "".join(c for c in target if c >= " ")),
             ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http;msgtype=response"), ("X-Page-ID", page), ("X-Payload-Length", str(len(payload)))]
-    if refers is not None:
-        head += [("WARC-Refers-To", f"<urn:page:{refers}>"), ("WARC-Profile", PROFILE)]
+    if kind == "revisit":
+        head += [("WARC-Profile", PROFILE), *([("WARC-Refers-To", f"<urn:page:{refers}>")] if refers is not None else [])]
     head.append(("Content-Length", str(len(body))))
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + body + b"\r\n\r\n"
 
 
 def _dictionary(samples: list[bytes]) -> bytes:
     """Trained on the samples; too few or too uniform ones give their own bytes as the dictionary."""
-    taken, total, step = [], 0, max(1, sum(map(len, samples)) // TRAIN_BYTES)
-    for s in samples[::step]:
-        taken.append(s[:1 << 17])
-        total += len(taken[-1])
-        if total > TRAIN_BYTES:
-            break
     try:
-        return zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, total // 8)), taken, level=LEVEL).as_bytes()
+        return zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, sum(map(len, samples)) // 8)), samples, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(taken)[:DICTIONARY_BYTES] or b"WARC/1.1\r\n"
+        return b"".join(samples)[:DICTIONARY_BYTES] or b"WARC/1.1\r\n"
 
 
-def write(planned: DataFrame, folder: str) -> DataFrame:
-    """Write the archives; returns the manifest (path, records, bytes), itself a table."""
+def write(planned: DataFrame, folder: str, trained: bytes) -> DataFrame:
+    """Write the archives with that dictionary; returns the manifest (path, records, bytes), itself a table."""
+    inner = zstandard.ZstdCompressor(level=LEVEL).compress(trained)
+    frame = struct.pack("<II", SKIPPABLE, len(inner)) + inner
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = opened(folder)
         fs.create_dir(root, recursive=True)
         part = TaskContext.get().partitionId()
-        out, made, coder, frame = None, [], None, b""
+        out, made = None, []
+        coder = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(trained))
         for batch in batches:
-            ids, targets, refers = (column(batch, c).to_pylist() for c in ("id", "target", "refers_to"))
+            ids, targets, kinds, refers = (column(batch, c).to_pylist() for c in ("id", "target", "kind", "refers_to"))
             records = []
             for i, page in enumerate(column(batch, "payload")):
                 data = page.as_buffer().to_pybytes()
-                kind = "response" if refers[i] is None else "revisit"
                 ref = None if refers[i] is None else str(refers[i])
-                records.append(_record(kind, f"<urn:page:{ids[i]}>", targets[i], payload_digest(data), data, "" if ids[i] is None else str(ids[i]), ref))
-            if coder is None and records:
-                trained = _dictionary(records)
-                words = zstandard.ZstdCompressionDict(trained)
-                coder = zstandard.ZstdCompressor(level=LEVEL, dict_data=words)
-                inner = zstandard.ZstdCompressor(level=LEVEL).compress(trained)
-                frame = struct.pack("<II", SKIPPABLE, len(inner)) + inner
+                records.append(_record(kinds[i], f"<urn:page:{ids[i]}>", targets[i], payload_digest(data), data, "" if ids[i] is None else str(ids[i]), ref))
             for r in records:
                 if out is None:
                     path = f"{root.rstrip('/')}/part-{part:05d}-{uuid.uuid4().hex}.warc.zst"
@@ -183,5 +198,5 @@ def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:
 def digests(pages: DataFrame, folder: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, as read back."""
     kind = pages.schema["page_id"].dataType
-    back = read(pages.sparkSession, write(plan(pages), folder))
+    back = read(pages.sparkSession, write(plan(pages), folder, dictionary(pages)))
     return back.select(F.col("page").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))

@@ -284,26 +284,27 @@ def test_repeats_behind_one_frequent_lead(spark, monkeypatch):
 
 
 def test_warc(spark, tmp_path, monkeypatch):
-    rows = [(i, f"http://x/{i}", f"<p>{i % 7}</p>" * (i % 5)) for i in range(60)] + [(60, None, None), (61, "http://é/\r\n", "é漢\r\n\r\nbody"), (None, "http://none", "<p>1</p>"), (62, "u", "y" * 300000), (62, "u", "y" * 300000)]
+    rows = [(i, f"http://x/{i}", f"<p>{i % 7}</p>" * (i % 5)) for i in range(60)] + [(60, None, None), (None, "a", "twice without an id"), (None, "b", "twice without an id"), (61, "http://é/\r\n", "é漢\r\n\r\nbody"), (None, "http://none", "<p>1</p>"), (62, "u", "y" * 300000), (62, "u", "y" * 300000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
-    largest = {}
-    for i, _, h in rows:
-        if i is not None:
-            largest[h or ""] = max(i, largest.get(h or "", i))
-    want = Counter()
-    for i, _, h in rows:
-        data = (h or "").encode()
-        revisit = i is not None and largest[h or ""] != i
-        want[(i, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "revisit" if revisit else "response", largest[h or ""] if revisit else None)] += 1
+    largest, many = {}, Counter(h or "" for _, _, h in rows)
+    for i, u, h in rows:
+        largest[h or ""] = max((i is not None, i or 0, u or ""), largest.get(h or "", (False, 0, "")))
+    want, seen = Counter(), set()
+    for i, u, h in rows:
+        data, last = (h or "").encode(), largest[h or ""]
+        revisit = many[h or ""] > 1 and ((i is not None, i or 0, u or "") != last or h in seen)
+        if not revisit:
+            seen.add(h)
+        want[(i, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "revisit" if revisit else "response", last[1] if revisit and last[0] else None)] += 1
     assert tally(warc.digests(pages, new_folder(spark, "warc-test")).collect()) == want
     # More than one file a task, and payloads as they were.
     monkeypatch.setattr(warc, "FILE_BYTES", 500)
-    manifest = warc.write(warc.plan(pages), str(tmp_path / "w"))
+    manifest = warc.write(warc.plan(pages), str(tmp_path / "w"), warc.dictionary(pages))
     assert manifest.count() > 3 and manifest.agg({"records": "sum"}).first()[0] == len(rows)
     back = {r.page: r.payload for r in warc.read(spark, manifest).where("record_type = 'response' and page is not null").collect()}
-    assert all(back[str(i)] == (h or "") for i, _, h in rows if i is not None and largest[h or ""] == i)
+    assert all(back[str(i)] == (h or "") for i, _, h in rows if i is not None and largest[h or ""][1] == i)
     # Below the limit every record is a response.
-    alone = warc.plan(pages, least=10**6).where("refers_to is not null").count()
+    alone = warc.plan(pages, least=10**6).where("refers_to is not null or kind = 'revisit'").count()
     assert alone == 0
     assert warc.digests(pages.limit(0), new_folder(spark, "warc-none")).count() == 0
 
@@ -316,7 +317,7 @@ def test_warc_frames(spark, tmp_path):
     import zstandard
 
     pages = spark.createDataFrame([(i, "u", f"<html>{i}" * 50) for i in range(20)], "page_id long, url string, html string").coalesce(1)
-    warc.write(warc.plan(pages), str(tmp_path)).count()
+    warc.write(warc.plan(pages), str(tmp_path), warc.dictionary(pages)).count()
     raw = next(Path(tmp_path).glob("*.warc.zst")).read_bytes()
     magic, size = struct.unpack("<II", raw[:8])
     assert magic == 0x184D2A5D
