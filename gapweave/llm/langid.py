@@ -4,7 +4,9 @@ The network reads windows of ``LENGTH`` bytes from both ends, gives every byte a
 language, and a document the mean over all of its bytes. It is trained on the driver, in numpy, by
 backpropagation through time, on a bounded sample: at most ``SAMPLE`` excerpts of ``EXCERPT``
 characters per language, taken by hash from all eligible documents and from anywhere in them.
-Prediction covers every byte of every text. A null text, or one without a letter, is ``und``.
+Prediction covers every byte of every text. A null text, or one without a letter, is ``und``; equal texts come out alike, and of
+languages with equal probability the first by name is taken. An empty table gives no rows, and without any labelled text all are ``und``. Other columns,
+whatever their names, pass through.
 """
 
 from __future__ import annotations
@@ -20,7 +22,8 @@ from gapweave.llm.tokens import column, ranges, slices
 
 LENGTH, HIDDEN = 64, 8
 SAMPLE, EXCERPT = 600, 256
-EPOCHS, BATCH, RATE = 12, 128, 0.01
+#: Training takes so many steps for each language, however many excerpts there are.
+STEPS, BATCH, RATE = 240, 128, 0.01
 #: Windows that go through the network at once in a task.
 TOGETHER = 4096
 UNKNOWN = "und"
@@ -133,9 +136,8 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> Model:
          "out1": start(len(names), HIDDEN), "out2": start(len(names), HIDDEN), "bias": np.zeros(len(names), np.float32)}
     first, second = ({k: np.zeros_like(v) for k, v in m.items()} for _ in range(2))
     step = 0
-    # As many steps for a small sample as for a full one.
-    epochs = EPOCHS if len(x) >= 2000 else min(200, EPOCHS * 2000 // max(1, len(x)))
-    for _ in range(epochs):
+    steps = STEPS * len(names)
+    while len(x) and step < steps:
         order = rng.permutation(len(x))
         for at in range(0, len(order), BATCH):
             own = order[at:at + BATCH]
@@ -147,6 +149,8 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> Model:
             g["table1"], g["recur1"] = _backward(m["table1"], m["recur1"], xs, c1, np.matmul(m["out1"].T, p))
             g["table2"], g["recur2"] = _backward(m["table2"], m["recur2"], xs[::-1], c2, np.matmul(m["out2"].T, p)[::-1])
             step += 1
+            if step > steps:
+                break
             rate = RATE * np.sqrt(1 - 0.999 ** step) / (1 - 0.9 ** step)
             for k, v in g.items():
                 v = v.clip(-1, 1)
@@ -183,7 +187,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang
     bytes of one label (from, to, label). An existing column of such a name is replaced."""
     new = [lang, score, *([runs] if runs else [])]
     kept = [c for c in docs.columns if c not in new]
-    marked = docs.select(*kept, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_letter"))
+    mark = next(f"letter{i}" for i in range(len(docs.columns) + 1) if f"letter{i}" not in {c.lower() for c in docs.columns})
+    marked = docs.select(*kept, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias(mark))
     run_kind = "array<struct<`from`:bigint,`to`:bigint,label:string>>"
     extra = f", {runs} {run_kind}" if runs else ""
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in kept], f"{lang} string, {score} double{extra}"])
@@ -204,7 +209,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang
                     np.add.at(total, row[own], p.sum(axis=0).T)
                     if runs:
                         labelled.append(p.argmax(axis=1).T)
-                letter = column(batch, "_letter").slice(part.first, part.rows).to_numpy(zero_copy_only=False).astype(bool)
+                letter = column(batch, mark).slice(part.first, part.rows).to_numpy(zero_copy_only=False).astype(bool)
                 size = np.maximum(np.diff(part.offsets), 1)
                 best = total.argmax(axis=1)
                 langs = [names[i] if ok and names else UNKNOWN for i, ok in zip(best.tolist(), letter.tolist(), strict=True)]

@@ -74,10 +74,11 @@ def test_licence_template_with_a_changed_word_needs_its_key_phrase(spark):
 def test_languages(spark, awkward, empty):
     texts = ["the cat sat on the mat and this was it " * 4, "der Hund und die Katze sind nicht müde " * 4] * 40
     model = langid.train(texts, ["en", "de"] * 40)
-    got = langid.predict(awkward.select("doc_id", "text", "score", "key"), model, runs="runs").collect()
+    clash = awkward.select("doc_id", "text", "score", "key", F.lit(1).alias("letter0"), F.lit(2).alias("_letter"))
+    got = langid.predict(clash, model, runs="runs").collect()
     assert len(got) == awkward.count()
     for r in got:
-        assert 0 <= r.score <= 1 and r.key == "other"
+        assert 0 <= r.score <= 1 and (r.key, r.letter0, r["_letter"]) == ("other", 1, 2)
         has_letter = any(c.isalpha() for c in r.text or "")
         assert (r.lang_pred == "und") == (not has_letter)
         runs = r.runs
