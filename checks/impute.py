@@ -205,3 +205,16 @@ def observed_mean(spark, sf):
 def audit_table(spark, sf):
     out = M.audit_table(_pairs(spark, sf), LINE, [f"{LABEL}__true"]).withColumnRenamed(f"{LABEL}__true", "y")
     return out.withColumn("imputed", F.round("imputed", 5))
+
+
+@query("distance_scale", f"""WITH {BASE}, m AS (SELECT {', '.join(f'avg({c}) AS m_{c}' for c in LINE)} FROM a),
+  s AS (SELECT {', '.join(f'coalesce(a.{c}, m_{c}) AS {c}' for c in LINE)} FROM a, m ORDER BY {u_sql('pairs', '')}, row_id LIMIT 2000),
+  d AS (SELECT ({' + '.join(f'(x.{c} - y.{c}) ** 2' for c in LINE)}) / 2 AS d FROM s x, s y),
+  k AS (SELECT d, row_number() OVER (ORDER BY d) AS rn, count(*) OVER () AS n FROM d WHERE d > 0)
+  SELECT round(max(d) FILTER (WHERE rn = floor(0.5::DOUBLE * n)) * 0.05::DOUBLE, 6) AS epsilon FROM k""")
+def distance_scale(spark, sf):
+    """A quantile of all pair distances of a sample of 2,000 lines with gaps."""
+    from gapweave.operators.distances import distance_scale as scale
+
+    _, a = gaps(spark, sf)
+    return spark.createDataFrame([(round(scale(a, LINE, seed=SEED), 6),)], "epsilon double")
