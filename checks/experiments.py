@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from checks.common import LABEL, LINE, LINE_SQL, PART_SQL, SEED, lines, mcar_sql, mean_sql, parts, query, table, u_sql
 from gapweave.model import Descriptor
+from gapweave.operators import metrics as M
 from gapweave.plans.grid import absent, open_cells, plan_grid
 from gapweave.plans.recommend import Recommender
 from gapweave.plans.results import ranking, winners
@@ -149,3 +150,65 @@ def recommend(spark, sf):
     model = Recommender(feats).fit(both, "best")
     out = [model.recommend(both.where(F.col("mecha") == m), m) for m in ("F", "O")]
     return out[0].unionByName(out[1]).groupBy("mecha").agg(F.count("*").alias("n_rows"), F.count("recommended").alias("n_recommended"))
+
+
+_SIZES = f"t AS ({PART_SQL}), a AS ({mcar_sql(['p_size'], 0.1, 't', seed=5)})"
+
+
+@query("clear_variants", f"WITH {_SIZES} SELECT 4::BIGINT AS n_cleared, 6::BIGINT AS n_left, count(*) AS n_rows, round(avg(p_size), 6) AS mean_size, count(*) - count(p_size) AS n_filled FROM a")
+def clear_variants(spark, sf):
+    """Filled variants of two seeds are forgotten, the others stay, and one is made anew on next use."""
+    store = VariantStore(spark, new_folder(spark, "variants"), opener(spark, sf))
+    store.build(["part"], [10], ["MCAR"], 5, 2, ["MEAN"])
+    cleared, left = store.clear(imputers=["MEAN"]), store.manifest().count()
+    again, gaps = store.imputed("part", 10, "MCAR", 5, "MEAN", False), store.missing("part", 10, "MCAR", 5, False)
+    n = gaps.agg(F.count_if(F.col("p_size").isNull())).first()[0]
+    return again.agg(F.lit(cleared).cast("long").alias("n_cleared"), F.lit(left).cast("long").alias("n_left"), F.count("*").alias("n_rows"), F.round(F.avg("p_size"), 6).alias("mean_size"),
+                     F.lit(n).cast("long").alias("n_filled"))
+
+
+@query("variant_timings", "SELECT count(*) AS n_rows, true AS timed, true AS unknown_is_an_error FROM part")
+def variant_timings(spark, sf):
+    """Times of a stored variant by its key, those of one that was never made being an error."""
+    store = VariantStore(spark, new_folder(spark, "variants"), opener(spark, sf))
+    filled = store.imputed("part", 10, "MCAR", 5, "MEAN", False)
+    times = store.timings("part", 10, "MCAR", 5, "MEAN")
+    try:
+        store.timings("part", 10, "MCAR", 6, "MEAN")
+        unknown = False
+    except KeyError:
+        unknown = True
+    timed = set(times) == {"impute_time", "missing_time"} and all(t > 0 for t in times.values())
+    return filled.agg(F.count("*").alias("n_rows"), F.lit(timed).alias("timed"), F.lit(unknown).alias("unknown_is_an_error"))
+
+
+@query("reuse_filled", f"""WITH {_TRAIN} SELECT 1::BIGINT AS n_planted, 1::BIGINT AS n_filled, true AS same_frame,
+  round(sqrt(({' + '.join(f'sum((i.{c} - tr.{c}) ** 2) FILTER (WHERE a.{c} IS NULL)' for c in LINE)}) / ({_N})), 6) AS impute_rmse
+  FROM tr JOIN a USING (row_id) JOIN i USING (row_id)""")
+def reuse_filled(spark, sf):
+    """Cells that differ in the regressor alone share one planted and one filled frame, and its quality."""
+    runner = Runner(spark, opener(spark, sf), ignore_errors=False)
+    cell = {"seed": SEED, "ds_name": "lineitem", "missing": 0.3, "mecha": "MCAR", "imputer": "MEAN", "new_imputer": False}
+    first = runner.run(**cell, regressor="ridgeregression")
+    held = dict(runner._filled)
+    second = runner.run(**cell, regressor="linearregression")
+    same = all(runner._filled[k] is v for k, v in held.items()) and first["t_impute"] == second["t_impute"]
+    filled = next(v[0] for k, v in held.items() if len(k) == 5)
+    return filled.agg(F.lit(sum(len(k) == 4 for k in runner._filled)).cast("long").alias("n_planted"), F.lit(sum(len(k) == 5 for k in runner._filled)).cast("long").alias("n_filled"),
+                      F.lit(same).alias("same_frame"), F.round(M.rmse(LINE), 6).alias("impute_rmse"))
+
+
+@query("seed_control", f"""WITH t AS ({LINE_SQL}), a AS ({mcar_sql(LINE, 0.3, 't', seed=7)}), b AS ({mcar_sql(LINE, 0.3, 't', seed=8)})
+  SELECT count(*) AS n_rows, count(*) FILTER (WHERE (a.l_quantity IS NULL) <> (b.l_quantity IS NULL)) AS n_other, 0::BIGINT AS n_changed_on_repeat, true AS same_model
+  FROM a JOIN b USING (row_id)""")
+def seed_control(spark, sf):
+    """The same seed plants the same gaps and fits the same model again, another seed plants others."""
+    from gapweave.operators.ampute import ampute
+    from gapweave.operators.regress import get_regressor
+
+    t = lines(spark, sf)
+    gone = [ampute(t.select("row_id", *LINE), LINE, 0.3, "MCAR", s).select("row_id", F.col("l_quantity").isNull().alias(n)) for s, n in ((7, "a"), (7, "again"), (8, "b"))]
+    models = [get_regressor("svregression", LINE, LABEL, seed=3, max_epochs=2).fit(t) for _ in range(2)]
+    same = bool((models[0].theta == models[1].theta).all())
+    return gone[0].join(gone[1], "row_id").join(gone[2], "row_id").agg(
+        F.count("*").alias("n_rows"), F.count_if(F.col("a") != F.col("b")).alias("n_other"), F.count_if(F.col("a") != F.col("again")).alias("n_changed_on_repeat"), F.lit(same).alias("same_model"))
