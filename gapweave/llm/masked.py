@@ -6,12 +6,13 @@ word is that of its class times the word's share of the class, by its count in t
 in the corpus have together the share that one occurrence more would have. A document's score
 is the sum of the logarithms of these conditional probabilities over all of its words.
 
-All words of all documents are counted, in a table that is never gathered. Training runs where the documents are: in each round
-every task starts from the same weights, goes through all tokens of its documents, and returns
+All words of all documents are counted, in a table that is never gathered. The tokens of all documents are written once, in shards that
+depend on the texts alone. In each round every shard starts from the same weights, goes through all of its tokens, and returns
 its weights; their mean, weighted by tokens and summed in a tree, begins the next round. So
 what is learned from, counted and moved grows with the corpus; no more than a few sets of weights reach the driver.
 
-A null or empty text has no tokens: log_prob 0 and a null mean. Equal texts score alike.
+A null or empty text has no tokens: log_prob 0 and a null mean. Equal texts score alike, in repeated rows as well; an empty table gives no rows. Other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ SIDE, HIDDEN, REACH = 32, 16, 2
 TOKENS, KNOWN = SIDE * SIDE, 3 * SIDE * SIDE // 4
 OFFSETS = [*range(-REACH, 0), *range(1, REACH + 1)]
 ROUNDS, BATCH, RATE = 2, 8192, 0.005
+#: Tokens of a shard, and bytes of ids handled at once.
+SHARD, TOGETHER = 1 << 22, 1 << 19
 #: Sets of weights summed by one task of the tree, and at most on the driver.
 FAN = 16
 #: Logarithms of counts are added up as whole numbers of this part.
@@ -88,6 +91,38 @@ def ids_of(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
     return np.where(known[at] == hashes, at, other)
 
 
+def token_table(docs: DataFrame, text: str, known: np.ndarray) -> DataFrame:
+    """(ids: two bytes a token) of every document that has any, written once. Documents are dealt by a hash of their ids into shards of about
+    SHARD tokens, each in order, so what a shard trains on depends on the texts alone."""
+    sent = docs.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(column(batch, text)):
+                found = words(part, ALNUM)
+                ids = ids_of(found.hash, sent.value).astype(np.uint16)
+                yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), part.rows, [None, pa.py_buffer((found.bounds * 2).astype(np.int32)), pa.py_buffer(ids)])], ["ids"])
+
+    rows = settle_table(docs.select(text).mapInArrow(run, "ids binary").where(F.octet_length("ids") > 0), "tokens")
+    total = rows.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
+    shards = max(1, -(-total // (2 * SHARD)))
+    # A shard is one file of one row group, so a task always reads it whole.
+    return settle_table(rows.repartition(shards, F.xxhash64("ids")).sortWithinPartitions("ids").select(F.spark_partition_id().alias("shard"), "ids"), "shards")
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, ids, bounds) of some documents of one shard at a time."""
+    for batch in batches:
+        shard, col = column(batch, "shard").to_numpy(), column(batch, "ids").cast(pa.large_binary())
+        offsets = np.frombuffer(col.buffers()[1], np.int64, len(col) + 1, col.offset * 8)
+        raw, at = col.buffers()[2], 0
+        while at < len(col):
+            to = min(int(np.searchsorted(offsets, offsets[at] + TOGETHER, "right")) - 1, int(np.searchsorted(shard, shard[at], "right")))
+            to = max(to, at + 1)
+            yield int(shard[at]), np.frombuffer(raw, np.uint16, (offsets[to] - offsets[at]) // 2, offsets[at]).astype(np.int64), (offsets[at:to + 1] - offsets[at]) // 2
+            at = to
+
+
 def beginning(seed: int = 3) -> Weights:
     rng = np.random.Generator(np.random.PCG64(seed))
 
@@ -170,32 +205,33 @@ def _unpack(flat: np.ndarray) -> Weights:
     return out
 
 
-def _round(docs: DataFrame, text: str, known: np.ndarray, weights: Weights) -> Weights:
-    """One pass of every task over its documents, and the mean of what they learned."""
-    sc = docs.sparkSession.sparkContext
-    sent = sc.broadcast((known, weights))
+def _round(tokens: DataFrame, weights: Weights) -> Weights:
+    """One pass over the documents of each shard, from the same weights, and the mean of what the shards have learned."""
+    sc = tokens.sparkSession.sparkContext
+    sent = sc.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_known, w = sent.value
-        w = {k: v.copy() for k, v in w.items()}
-        first, second = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
-        step = total = 0
-        for batch in batches:
-            for part in slices(column(batch, text)):
-                found = words(part, ALNUM)
-                ids = ids_of(found.hash, words_known)
-                around = neighbours(ids, found.bounds)
-                total += len(ids)
-                for at in range(0, len(ids), BATCH):
-                    step += 1
-                    rate = RATE * np.sqrt(1 - 0.999 ** step) / (1 - 0.9 ** step)
-                    for k, g in _gradients(w, around[at:at + BATCH], ids[at:at + BATCH]).items():
-                        first[k] += np.float32(0.1) * (g - first[k])
-                        second[k] += np.float32(0.001) * (g * g - second[k])
-                        w[k] -= np.float32(rate) * first[k] / (np.sqrt(second[k]) + np.float32(1e-8))
-                        np.clip(w[k], -4, 4, out=w[k])
+        part = total = step = 0
+        w = first = second = {}
+        for shard, ids, bounds in _runs(batches):
+            if not total or shard != part:
+                if total:
+                    yield _row(part, float(total), np.frombuffer(_pack(w), np.float32))
+                part, total, step = shard, 0, 0
+                w = {k: v.copy() for k, v in sent.value.items()}
+                first, second = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
+            around = neighbours(ids, bounds)
+            total += len(ids)
+            for at in range(0, len(ids), BATCH):
+                step += 1
+                rate = RATE * np.sqrt(1 - 0.999 ** step) / (1 - 0.9 ** step)
+                for k, g in _gradients(w, around[at:at + BATCH], ids[at:at + BATCH]).items():
+                    first[k] += np.float32(0.1) * (g - first[k])
+                    second[k] += np.float32(0.001) * (g * g - second[k])
+                    w[k] -= np.float32(rate) * first[k] / (np.sqrt(second[k]) + np.float32(1e-8))
+                    np.clip(w[k], -4, 4, out=w[k])
         if total:
-            yield _row(TaskContext.get().partitionId(), float(total), np.frombuffer(_pack(w), np.float32))
+            yield _row(part, float(total), np.frombuffer(_pack(w), np.float32))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, w, part = 0.0, None, None
@@ -207,7 +243,7 @@ def _round(docs: DataFrame, text: str, known: np.ndarray, weights: Weights) -> W
             yield _row(part, n, w / n)
 
     schema = "part long, n double, w binary"
-    count, rows = docs.rdd.getNumPartitions(), docs.select(text).mapInArrow(run, schema)
+    count, rows = (tokens.agg(F.max("shard")).first()[0] or 0) + 1, tokens.mapInArrow(run, schema)
     while count > FAN:
         count = -(-count // FAN)
         rows = rows.repartition(count, "part").sortWithinPartitions("part").mapInArrow(add, schema)
@@ -227,8 +263,9 @@ def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> tuple[np
     """Known words, weights, and the counts of all words."""
     counts = settle_table(word_counts(docs, text), "words")
     known, weights = frequent(counts), beginning()
+    tokens = token_table(docs, text, known)
     for _ in range(rounds):
-        weights = _round(docs, text, known, weights)
+        weights = _round(tokens, weights)
     return known, weights, counts
 
 
