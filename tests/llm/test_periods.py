@@ -14,17 +14,14 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def brute(w, copies=4, words=6):
-    out = []
+    """Every period and every stretch over which it holds, if no smaller one holds there."""
+    ids, out = np.unique(np.array(w, str), return_inverse=True)[1] if w else np.zeros(0, int), []
     for q in range(1, len(w) // copies + 1):
-        i = 0
-        while i + q < len(w):
-            j = i
-            while j + q < len(w) and w[j] == w[j + q]:
-                j += 1
+        edge = np.diff(np.r_[False, ids[:-q] == ids[q:], False].astype(np.int8))
+        for i, j in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
             n = j + q - i
-            if n >= max(words, copies * q) and not any(all(w[k] == w[k + r] for k in range(i, i + n - r)) for r in range(1, q)):
+            if n >= max(words, copies * q) and not any((ids[i:i + n - r] == ids[i + r:i + n]).all() for r in range(1, q)):
                 out.append((i, n, q))
-            i = max(j, i + 1)
     return sorted(out, key=lambda r: (r[0], r[2]))
 
 
