@@ -10,7 +10,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from gapweave.llm import langid, licences, masked, pieces, quality
+from gapweave.llm import langid, licences, masked, op1, pieces, quality
 from gapweave.llm.tokens import ALNUM, SPACE, Slice, words
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -64,6 +64,16 @@ def test_licence_words_keep_the_kelvin_sign(spark):
     assert {r.doc_id: r.n_words for r in licences.report(docs).collect()} == {1: 2, 2: 2, 3: 2}
 
 
+def test_licence_query_counts_the_phrases_of_its_contract(spark, tmp_path):
+    """A bare "mit license" is no base phrase of the query; its label stays, found by the method."""
+    texts = ["Under the MIT License", "the MIT license", "x under the mit-license, under the MIT License; Apache License, Version 2", "CC BY NC 4.0 under the mit", None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: tuple(r)[1:7] for r in op1.op1_license_scan(spark, str(tmp_path)).collect()}
+    assert got == {
+        0: (4, 1, 0, 0, "mit", "mit"), 1: (3, 0, None, None, "", "mit"), 2: (13, 3, 1, 9, "apache-2,mit", "apache-2,mit"),
+        3: (8, 1, 0, 0, "cc-by-nc", "cc-by-nc"), 4: (0, 0, None, None, "", ""), 5: (0, 0, None, None, "", "")}
+
+
 def test_licence_template_with_a_changed_word_needs_its_key_phrase(spark):
     text = "This work was licensed under the GNU General Public License, version 3."
     docs = spark.createDataFrame([(1, text), (2, text.replace("Public", "Private"))], "doc_id long, text string")
