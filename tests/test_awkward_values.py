@@ -105,3 +105,17 @@ def test_more_than_64_targets(spark):
     out = impute(spark.createDataFrame(rows, "row_id string, " + ", ".join(f"{c} double" for c in cols)), "knn", cols)
     got = out.where("row_id = '5'").first()
     assert all(abs(got[f"c{j}"] - base[0, j]) < 0.1 for j in (0, 61, 63, 69))
+
+
+def test_lines_that_differ_in_any_column_have_keys_of_their_own(spark, tmp_path):
+    """Order, part, supplier, number and price alike; each line differs from the first in one other column."""
+    import datetime
+
+    from checks.ampute import ampute_mcar
+
+    first = (1, 2, 3, 4, 5.0, 60.0, 0.1, 0.2, "A", "F", datetime.datetime(2020, 1, 1))
+    other = {4: 6.0, 6: 0.3, 7: None, 8: "R", 9: "O", 10: datetime.datetime(2020, 1, 2)}
+    rows = [first, *(tuple(v if i == k else x for i, x in enumerate(first)) for k, v in other.items())]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, "
+                          "l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert len({r.row_id for r in ampute_mcar(spark, str(tmp_path)).collect()}) == len(rows)
