@@ -182,16 +182,18 @@ def sample(docs: DataFrame, eligible: Column, text: str = "text", lang: str = "l
     return texts, labels
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang_pred", score: str = "score", runs: str | None = None) -> DataFrame:
+def predict(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang_pred", score: str = "score", runs: str | None = None, carry: list[str] | None = None) -> DataFrame:
     """Add the language of each whole text and its mean probability; with ``runs``, also the runs of
-    bytes of one label (from, to, label). An existing column of such a name is replaced."""
+    bytes of one label (from, to, label). An existing column of such a name is replaced. With ``carry``, only those
+    columns come back beside the new ones: texts that nobody reads again need not cross twice."""
     new = [lang, score, *([runs] if runs else [])]
-    kept = [c for c in docs.columns if c not in new]
+    kept = [c for c in (docs.columns if carry is None else carry) if c not in new]
     mark = next(f"letter{i}" for i in range(len(docs.columns) + 1) if f"letter{i}" not in {c.lower() for c in docs.columns})
-    marked = docs.select(*kept, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias(mark))
+    sent_in = [c for c in docs.columns if c in kept or c == text]
+    marked = docs.select(*sent_in, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias(mark))
     run_kind = "array<struct<`from`:bigint,`to`:bigint,label:string>>"
     extra = f", {runs} {run_kind}" if runs else ""
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in kept], f"{lang} string, {score} double{extra}"])
+    schema = ", ".join([*[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept], f"{lang} string, {score} double{extra}"])
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,4 +241,4 @@ def held_out(key: str = "doc_id") -> Column:
 def predictions(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row, learned from the rows not held out."""
     model = train(*sample(docs, ~F.coalesce(held_out(), F.lit(False))))
-    return predict(docs.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+    return predict(docs.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "text"), model, carry=["doc_id", "held_out"])

@@ -101,6 +101,13 @@ def test_languages(spark, awkward, empty):
     assert {r.doc_id: r.lang_pred for r in pred.collect()} == {1: "en", 2: "de"}
 
 
+def test_language_query_does_not_send_texts_back(spark, awkward):
+    out = langid.predictions(awkward)
+    made = next(line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "MapInArrow" in line)
+    assert "text#" not in re.search(r", \[([^\]]*)\]", made)[1] and out.columns == ["doc_id", "held_out", "lang_pred", "score"]
+    assert out.count() == awkward.count()
+
+
 def test_language_gradients_agree_with_differences():
     rng = np.random.default_rng(1)
     h = langid.HIDDEN
