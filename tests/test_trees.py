@@ -105,3 +105,66 @@ def test_awkward_tables(spark):
     assert model.values(np.array([[0.5], [2.5], [np.nan]])).tolist() == [0.0, 1.0, 1.0]
     assert Bins.fit(gap, ["f0"]).cuts[0].tolist() == [0.0, 1.0, 2.0]
     assert Tree().add(0.0) == 0 and gap.where(F.col("f0") > 9).count() == 0
+
+
+def test_boosting_works_out_its_rows_once(spark):
+    rng = np.random.default_rng(2)
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def told(v):
+        seen.add(1)
+        return v
+
+    df = frame(spark, rng.random((200, 2)), rng.random(200)).withColumn("y", told("y"))
+    model = boost(df, ["f0", "f1"], "y", 3, 0.3, Growth(depth=2), "row_id")
+    assert len(model.trees) == 3 and seen.value == 200
+
+
+def test_rows_are_parted_down_to_the_wanted_leaves_only():
+    tree = Tree()
+    root = tree.add(0.0)
+    left, right = tree.split(root, trees.Split(1.0, 0, 3, True, (0, 0, 0), (0, 0, 0)), (1.0, 2.0))
+    low, high = tree.split(right, trees.Split(1.0, 1, 5, False, (0, 0, 0), (0, 0, 0)), (3.0, 4.0))
+    codes = np.array([[0, 9, 9, 255, 9], [7, 5, 6, 0, 255]], np.uint8)
+    assert {n: r.tolist() for n, r in tree.rows_of(codes)} == {left: [0, 3], low: [1], high: [2, 4]}
+    assert {n: r.tolist() for n, r in tree.rows_of(codes, [high])} == {high: [2, 4]}
+    assert tree.predict(codes).tolist() == [1.0, 3.0, 4.0, 1.0, 4.0]
+
+
+def test_adaboost_equals_a_plain_one(spark):
+    """Weighted splits at every value: 60 of them, more than 32 bins hold."""
+    from gapweave.operators.regress import AdaBoostRegressor
+
+    rng = np.random.default_rng(11)
+    x = rng.permutation(60).astype(float)[:, None]
+    y = np.sin(x[:, 0] / 5) + 0.3 * rng.standard_normal(60)
+    model = AdaBoostRegressor(["f0"], "y", rounds=6).fit(frame(spark, x, y))
+
+    def plain(rows, w, depth):
+        best = None
+        for limit in np.unique(x[rows, 0])[:-1] if depth else []:
+            parts = [rows[x[rows, 0] <= limit], rows[x[rows, 0] > limit]]
+            gain = sum((w[p] @ y[p]) ** 2 / w[p].sum() for p in parts)
+            if best is None or gain > best[0] + 1e-9 * abs(gain):
+                best = gain, parts
+        if best is None:
+            return [(rows, w[rows] @ y[rows] / w[rows].sum())]
+        return [leaf for p in best[1] for leaf in plain(p, w, depth - 1)]
+
+    w, made, say = np.ones(60), [], []
+    for _ in range(6):
+        p = np.empty(60)
+        for rows, value in plain(np.arange(60), w, 3):
+            p[rows] = value
+        e = np.abs(y - p)
+        loss = w @ e / e.max() / w.sum()
+        made.append(p)
+        say.append(np.log((1 - loss) / loss))
+        w = w * (loss / (1 - loss)) ** (1 - e / e.max())
+    assert np.allclose([a for a, _ in model.trees], say)
+    order = np.argsort(made, axis=0, kind="stable")
+    first = (np.cumsum(np.array(say)[order], axis=0) >= 0.5 * sum(say)).argmax(axis=0)
+    want = np.array(made)[order[first, np.arange(60)], np.arange(60)]
+    got = {r.row_id: r.prediction for r in model.predict(frame(spark, x, y)).collect()}
+    assert np.allclose([got[i] for i in range(60)], want)
