@@ -261,3 +261,33 @@ def test_join_and_inline_scores_agree(planted):
     assert np.allclose(inline, joined)
     n1 = M.normalized_rmse(planted, g, filled.select("row_id", *COLS), COLS).first()[0]
     assert abs(n1 - M.normalized_rmse_inline(filled, COLS).first()[0]) < 1e-12
+
+
+def test_donors_alike_are_cut_to_the_lowest_ids_before_a_search(spark, monkeypatch):
+    """Few values, so most donors are alike in what a query has; against a plain search over all pairs."""
+    from gapweave.functions import neighbours
+
+    rng = np.random.default_rng(9)
+    x = np.column_stack([rng.integers(0, 3, 400), rng.integers(0, 4, 400), rng.random(400).round(2)]).astype(float)
+    x[rng.random(x.shape) < 0.3] = np.nan
+    cols = ["a", "b", "c"]
+    df = spark.createDataFrame([(i, *[None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)], "row_id long, a double, b double, c double")
+    met, search = [], neighbours._search
+
+    def counted(queries, donors, *rest):
+        met.append(donors.count())
+        return search(queries, donors, *rest)
+
+    monkeypatch.setattr(neighbours, "_search", counted)
+    got = {(r.row_id, r.target, r["rank"]): r.donor_id for r in neighbours.nearest(df, df, cols, cols, 2, per_target=True).collect()}
+    want = {}
+    for i in range(len(x)):
+        for j, t in enumerate(cols):
+            if np.isnan(x[i, j]):
+                both = ~np.isnan(x[i]) & ~np.isnan(x)
+                n = both.sum(1)
+                near = sorted((np.where(both, (x - x[i]) ** 2, 0.0).sum(1)[m] * 3 / n[m], m) for m in range(len(x)) if n[m] and not np.isnan(x[m, j]))
+                want |= {(i, t, r + 1): m for r, (_, m) in enumerate(near[:2])}
+    assert got == want
+    # a query with a alone: three values, two ids each, two targets
+    assert min(met) <= 12
