@@ -74,3 +74,13 @@ def test_missforest_gaps_of_all_kinds(spark):
             assert abs(got[i]["a"] - i % 7) < 0.2
     with pytest.raises(Exception, match="NaN"):
         model.transform(spark.createDataFrame([(1, float("nan"), 1.0, 1.0)], df.schema)).collect()
+
+
+def test_missforest_keys_may_repeat_or_be_null(spark):
+    rows = [(None if i % 3 == 0 else i // 2, None if i % 4 == 0 else i % 5, None if i % 11 == 0 else float(i % 5)) for i in range(120)] + [(1, None, None)] * 2
+    df = spark.createDataFrame(rows, "row_id long, number int, b double")
+    got = get_imputer("missforest", columns=["number", "b"], trees=3, depth=3, max_rounds=2).fit(df).transform(df).collect()
+    assert len(got) == 122 and all(r["number"] is not None and r["b"] is not None for r in got)
+    one = get_imputer("missforest", columns=["b"], trees=3, depth=3, max_rounds=2).fit(df).transform(df).collect()
+    mean = np.mean([b for _, _, b in rows if b is not None])
+    assert sum(abs(r["b"] - mean) < 1e-9 for r in one) >= sum(b is None for _, _, b in rows)
