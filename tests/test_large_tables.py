@@ -112,3 +112,90 @@ def test_gapped_orders_are_worked_out_once(spark, tmp_path):
     spark.createDataFrame([(i // 2, i % 2, float(i), 3.0 * i) for i in range(100)], "l_orderkey long, l_linenumber int, l_quantity double, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
     a = learn.wide_gaps(spark, str(tmp_path))
     assert a.count() == 50 and "Join" not in a._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("depth", [0, 1, 9])
+def test_trees_grown_whole_are_those_grown_by_levels(spark, monkeypatch, depth):
+    import pyarrow as pa
+
+    from gapweave.functions import forest as R
+    from gapweave.functions.trees import BLOCKS, as_block
+
+    rng = np.random.default_rng(3)
+    x = np.stack([rng.integers(0, 9, 600), rng.integers(0, 9, 600), rng.normal(size=600)]).astype(float)
+    y, cuts = x[0] + (x[1] > 4) * x[2] + rng.normal(0, 0.5, 600), [np.arange(8) + 0.5] * 2 + [np.arange(31) / 8 - 2]
+    codes = R.codes_of(x, cuts)
+    blocks = [as_block(codes[:, a: a + 100], np.stack([y[a: a + 100], np.full(100, float(a))])) for a in range(0, 600, 100)]
+    df, scans = spark.createDataFrame(pa.Table.from_batches(blocks).to_pylist(), BLOCKS).repartition(3), []
+    monkeypatch.setattr(R, "_scan", lambda *a, made=R._scan: scans.append(a) or made(*a))
+    whole = R.grow(df, cuts, 2.0, 3, depth, [5])
+    assert not scans
+    monkeypatch.setattr(R, "WHOLE", 600 * (3 + 16) - 1)
+    levels = R.grow(df, cuts, 2.0, 3, depth, [5])
+    assert len(scans) >= max(depth, 1) - 1
+    for a, b in zip(whole.trees, levels.trees, strict=True):
+        assert all(np.array_equal(getattr(a, k), getattr(b, k)) for k in ("feature", "cut", "left")) and np.allclose(a.value, b.value)
+
+
+def test_blocks_and_tasks_of_forests_are_bounded(spark, monkeypatch):
+    from gapweave.functions.trees import unblock
+    from gapweave.operators.impute import chained as X
+
+    for name, value in (("LEAST_ROWS", 10), ("MOST_ROWS", 20), ("PARTS", 3), ("PART_ROWS", 500)):
+        monkeypatch.setattr(X, name, value)
+    parts = []
+    monkeypatch.setattr(X, "settle_table", lambda df, label: parts.append(df.rdd.getNumPartitions()) or df)
+    df = spark.range(1000).selectExpr("id AS row_id", "if(id % 3 = 0, null, cast(id AS double)) AS a", "cast(id AS double) AS b")
+    blocks = X._blocks(df, ["a", "b"], {"a": -1.0, "b": 0.0}, "row_id", 1000).toArrow().to_batches()
+    made = [(g, v) for b in blocks for g, v in unblock(b, 2, 4)]
+    assert parts == [3] and sum(v.shape[1] for _, v in made) == 1000 and max(v.shape[1] for _, v in made) == 20
+    gaps, v = np.concatenate([g for g, _ in made], axis=1), np.concatenate([v for _, v in made], axis=1)
+    assert np.array_equal(gaps[0] == 1, v[1] % 3 == 0) and np.array_equal(v[0], np.where(gaps[0] == 1, -1.0, v[1])) and not v[3].any()
+
+
+def test_largest_change_of_a_round():
+    from gapweave.functions import forest as R
+    from gapweave.operators.impute import chained as X
+
+    gaps = np.array([[1, 0, 1], [1, 1, 0]], np.uint8)
+    v = np.array([[0.0, 5.0, 1.0], [0.0, 1.0, 7.0], [1.0, 2.0, 3.0], [9.0, 9.0, 9.0]])
+    constant = lambda c: R.Forest([np.zeros(0)], [R.Tree(np.zeros(1, np.int32), np.full(1, 255, np.uint8), np.zeros(1, np.int32), np.full(1, c))], 0)
+    once = X._filled(gaps, v, 0, constant(4.0), True)
+    assert once[0].tolist() == [4.0, 5.0, 4.0] and once[3].tolist() == [4.0, 0.0, 3.0]
+    twice = X._filled(gaps, once, 1, constant(-1.5), False)
+    assert twice[1].tolist() == [-1.5, -1.5, 7.0] and twice[3].tolist() == [4.0, 2.5, 3.0] and twice[2].tolist() == [1.0, 2.0, 3.0]
+
+
+def test_many_forests_fill_in_several_projections(spark, monkeypatch):
+    from gapweave.operators.impute import chained as X
+    from gapweave.operators.impute.base import get_imputer
+
+    rows = [(i, None if i % 5 == 0 else float(i % 7), None if i % 6 == 0 else float(i % 7) * 3) for i in range(150)]
+    df = spark.createDataFrame(rows, "row_id long, a double, b double").withColumn("kept", X.F.col("row_id") + 1)
+    model = get_imputer("missforest", columns=["a", "b"], trees=3, depth=3, max_rounds=3).fit(df)
+    assert len(model.steps) == 2 * model.rounds
+    want = sorted(model.transform(df).collect())
+    monkeypatch.setattr(X, "HELD", 1)
+    several = model.transform(df)
+    assert several.columns == df.columns and sorted(several.collect()) == want
+
+
+def test_missforest_query_leaves_rounds_to_the_operator(monkeypatch):
+    from checks import learn
+
+    asked = []
+
+    class Stop(Exception):
+        pass
+
+    def get(name, **params):
+        asked.append((name, params))
+        raise Stop
+
+    monkeypatch.setattr(learn, "wide_gaps", lambda spark, sf: None)
+    monkeypatch.setattr(learn, "impute", lambda *a: type("D", (), {"agg": lambda *a: type("R", (), {"first": lambda self: [1.0]})()})())
+    monkeypatch.setattr(learn, "get_imputer", get)
+    monkeypatch.setattr(learn.M, "rmse", lambda columns: None)
+    with pytest.raises(Stop):
+        learn.impute_missforest(None, "")
+    assert asked == [("missforest", {"columns": learn.WIDE})]
