@@ -199,3 +199,16 @@ def test_missforest_query_leaves_rounds_to_the_operator(monkeypatch):
     with pytest.raises(Stop):
         learn.impute_missforest(None, "")
     assert asked == [("missforest", {"columns": learn.WIDE})]
+
+
+@pytest.mark.parametrize("lowest, epochs", [(True, 3), (False, 10)])
+def test_patience_counts_from_the_lowest_loss(spark, lowest, epochs):
+    """Losses that fall by less than the tolerance: scikit-learn's rule ends there, however far they fall together."""
+    data = T.shard(spark.range(20).selectExpr("id AS row_id", "cast(id AS double) AS x"), ["x"])
+
+    def epoch(models, active, batches, rng):
+        n = sum(len(b) for b in batches)
+        return [(m + 1.0, n * (1.0 - 0.06 * m[0]), n) for m in models]
+
+    _, losses = T.average_epochs(data, [np.zeros(1)], epoch, 7, 10, 2, 0.1, lowest=lowest)
+    assert np.isclose(losses[0], 1.0 - 0.06 * (epochs - 1))
